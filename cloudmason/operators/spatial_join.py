@@ -23,7 +23,7 @@ from cloudmason.session import partitions
 SAMPLE_ROWS = 20_000
 #: Sampled rows in a leaf before it is split.
 LEAF_SAMPLE = 100
-MAX_DEPTH = 12
+MAX_DEPTH = 24
 FANOUT = 16
 #: Rows of one side of one leaf before it is cut into blocks.
 BLOCK_ROWS = 100_000

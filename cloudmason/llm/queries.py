@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudmason.llm import canonical, clusters, language, mixing, mojibake, packing, sampling
+from cloudmason.llm import canonical, clusters, language, linkage, mixing, mojibake, packing, sampling
 from cloudmason.llm.tokens import n_tokens
 from cloudmason.session import cut
 
@@ -14,6 +14,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# ---- p2
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    canon, _ = _canon(spark, sf_dir)
+    a = table(spark, sf_dir, "annotations").select(F.col("annotation_id").alias("id"), F.col("scene_id").alias("grp"), F.col("semantic_label").alias("label"), *(F.col(f"global_box_center_{c}").alias(c) for c in "xyz"), F.col("material_description").alias("material"), "typology", "function")
+    label = F.coalesce(F.expr("nullif(trim(class_semantic_label), '')"), "semantic_label")
+    c = table(spark, sf_dir, "catalogue").select(F.col("record_id").alias("id"), F.col("scene_id").alias("grp"), label.alias("label"), "x", "y", "z", "material", "typology", "function")
+    return linkage.link(linkage.prepared(a, "label", canon), linkage.prepared(c, "label", canon))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linked(spark, sf_dir).select(F.col("left_id").alias("annotation_id"), F.col("right_id").alias("record_id"))
+
+
+def p2_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linked(spark, sf_dir).select(F.col("left_id").alias("annotation_id"), F.col("right_id").alias("record_id"), "confidence")
+
+
 # ---- p3
 
 

@@ -62,7 +62,7 @@ def concept(text: Column, groups: list[list[str]]) -> Column:
 def prepared(rows: DataFrame, label: str, canon: Canon) -> DataFrame:
     """id, grp, k (class, null if unknown), x, y, z, mat, typ, fns of rows with id, grp, label, x, y, z, material, typology, function."""
     num = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None))
-    d = rows.select("id", "grp", F.col(label).alias("label"), num("x").alias("x"), num("y").alias("y"), num("z").alias("z"), concept(F.col("material"), MATERIALS).alias("mat"), concept(F.col("typology"), TYPOLOGIES).alias("typ"), F.array_sort(F.array_distinct(F.expr("filter(transform(split(lower(function), '[;|,]'), s -> trim(s)), s -> s <> '')"))).alias("fns"))
+    d = rows.select("id", "grp", F.col(label).alias("label"), num("x").alias("x"), num("y").alias("y"), num("z").alias("z"), concept(F.col("material"), MATERIALS).alias("mat"), concept(F.col("typology"), TYPOLOGIES).alias("typ"), F.coalesce(F.array_sort(F.array_distinct(F.expr("filter(transform(split(lower(function), '[;|,]'), s -> trim(s)), s -> s <> '')"))), F.expr("cast(array() as array<string>)")).alias("fns"))
     d = map_values(d, "label", canon)
     unplaced = F.col("x").isNull() | F.col("y").isNull() | ((F.col("x") == 0) & (F.col("y") == 0))  # a centre of zeros stands for none
     return d.select("id", "grp", F.when(F.col("canon_id") != NONE, F.col("canon_id")).alias("k"), *(F.when(~unplaced, F.col(c)).alias(c) for c in "xyz"), "mat", "typ", "fns")
@@ -227,7 +227,7 @@ def link(left: DataFrame, right: DataFrame) -> DataFrame:
     full = ["grp", "k", "mat", "typ"]
     copy = lambda d: d.select("*", *(F.col(c).alias(f"r_{c}") for c in full[1:]))
     lost = copy(a.filter("x is null").join(lost_b, full)).unionByName(copy(a.filter("x is not null").join(lost_b.filter("r_x is null"), full)))
-    lost = lost.filter(F.size("fns").isNull() | (F.size("fns") <= 0) | (F.size("r_fns") <= 0) | F.arrays_overlap("fns", "r_fns"))
+    lost = lost.filter((F.size("fns") == 0) | (F.size("r_fns") == 0) | F.arrays_overlap("fns", "r_fns"))
     columns = ["id", "grp", "k", "x", "y", "z", "mat", "typ", "fns", "n_right", *(f"r_{c}" for c in ("id", "k", "x", "y", "z", "mat", "typ", "fns"))]
     pairs = known.select(columns).unionByName(vague.select(columns)).unionByName(lost.select(columns))
     pairs = cut(evidence(pairs).filter(F.col("pro") * 1.5 + 1 > F.col("con")).select("id", "r_id", "pro", "con", "x", "y", "r_x", "r_y", "mat", "typ", "r_mat", "r_typ"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -201,6 +202,21 @@ def path_safe(c: Column) -> Column:
     return F.regexp_replace(c, "[^A-Za-z0-9._-]+", "_")
 
 
+def fixed(c: Column, digits: int) -> Column:
+    """A number with so many decimals, by its exact binary value (Java's formatting rounds the shortest decimal form)."""
+
+    @F.pandas_udf("string")
+    def form(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: f"{x:.{digits}f}", na_action="ignore")
+
+    return form(c)
+
+
+def grouped(c: Column) -> Column:
+    """A whole number with commas between thousands."""
+    return F.format_number(c, 0)
+
+
 def material_words(material: str) -> list[str]:
     """The first alias group one of whose words occurs in the query, or the query itself."""
     folded = "".join(x for x in unicodedata.normalize("NFKD", material.strip().lower()) if not unicodedata.combining(x))

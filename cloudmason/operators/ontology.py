@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cloudmason.functions import text as X
 from cloudmason.functions import vocabulary as V
 from cloudmason.operators.points import ranked
+from cloudmason.session import cut
 
 NODE_COLUMNS = ["scene_id", "node_id", "label", "ontology_class", "local_class", "properties", "node_ord"]
 SATELLITES = {"typology": ("Tipo", V.E55, V.P2), "material": ("Materiale", V.E57, V.P45), "function": ("Funzione", V.E55, V.P103)}
@@ -37,8 +38,16 @@ def elements(rows: DataFrame, compat_zero: bool = False) -> DataFrame:
     return d.withColumn("label", node).withColumn("node_id", F.concat_ws("_", "scene_id", "label")).withColumn("ontology_class", registry(F.col("word"), 2)).withColumn("local_class", registry(F.col("word"), 3)).withColumn("properties", props)
 
 
+def kept(found: DataFrame) -> DataFrame:
+    """One row per node: class words that share a prefix can give two rows one id; the last row then stays, in the place of
+    the first. Edges of both rows remain."""
+    rest = [c for c in found.columns if c not in ("scene_id", "node_id", "row_id")]
+    d = found.groupBy("scene_id", "node_id").agg(F.max_by(F.struct(*rest), "row_id").alias("m"), F.min("row_id").alias("row_id"))
+    return d.select("scene_id", "node_id", "row_id", *(F.col(f"m.{c}").alias(c) for c in rest))
+
+
 def element_nodes(found: DataFrame) -> DataFrame:
-    return found.select("scene_id", "node_id", "label", "ontology_class", "local_class", "properties", F.col("row_id").alias("node_ord"))
+    return kept(found).select("scene_id", "node_id", "label", "ontology_class", "local_class", "properties", F.col("row_id").alias("node_ord"))
 
 
 def satellites(found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -57,7 +66,8 @@ def spatial_index(relations: DataFrame) -> DataFrame:
     """Distinct (scene_id, a, b), both ways, of relations (scene_id, source, target, rel_type) that support composition."""
     kept = relations.filter((F.coalesce(F.col("rel_type"), F.lit("")) == "") | F.lower("rel_type").isin(V.SPATIAL_SUPPORT))
     one = kept.select("scene_id", F.col("source").alias("a"), F.col("target").alias("b"))
-    return one.unionByName(one.select("scene_id", F.col("b").alias("a"), F.col("a").alias("b"))).filter((F.col("a") != "") & (F.col("b") != "")).distinct()
+    both = one.unionByName(one.select("scene_id", F.col("b").alias("a"), F.col("a").alias("b"))).filter((F.col("a") != "") & (F.col("b") != "")).distinct()
+    return cut(both)  # read by every rule
 
 
 def bridge_l1(relations: DataFrame) -> DataFrame:
@@ -112,7 +122,7 @@ def spacing(found: DataFrame, by: list[str]) -> DataFrame:
 
 def colonnades(found: DataFrame, stems: list[str] = V.SUPPORT_FUNCTION_STEMS, least: int = V.MIN_COLONNADE) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): a colonnade where at least four located columns, all with a support function, are equispaced."""
-    columns = found.filter((F.col("local_class") == "Column") & F.col("x").isNotNull() & F.col("y").isNotNull())
+    columns = kept(found).filter((F.col("local_class") == "Column") & F.col("x").isNotNull() & F.col("y").isNotNull())
     carries = X.has_any(F.lower("function"), stems).cast("int")
     whole = spacing(columns, ["scene_id"]).join(columns.groupBy("scene_id").agg(F.min(carries).alias("all_carry")), "scene_id")
     scenes = whole.filter((F.col("n") >= least) & (F.col("all_carry") == 1) & F.col("equispaced")).select("scene_id")
@@ -156,7 +166,7 @@ def _made(scenes: DataFrame, components: DataFrame, nodes: DataFrame, index: Dat
 
 
 def _located(found: DataFrame, *classes: str) -> DataFrame:
-    return found.filter(F.col("local_class").isin(*classes) & F.col("x").isNotNull() & F.col("y").isNotNull())
+    return kept(found).filter(F.col("local_class").isin(*classes) & F.col("x").isNotNull() & F.col("y").isNotNull())
 
 
 def _spaced(located: DataFrame, least: int) -> DataFrame:
@@ -188,11 +198,11 @@ def loggias(found: DataFrame, evidence: DataFrame, index: DataFrame) -> tuple[Da
 
 def endpoint(rows: DataFrame, nodes: DataFrame, p: str) -> DataFrame:
     """rows with p_id: the node named by p_node_id, else by p_local_class and the 1-based p_index in node order."""
-    ids = nodes.select("scene_id", F.col("node_id").alias("by_id"))
-    numbered = nodes.withColumn("place", F.row_number().over(Window.partitionBy("scene_id", "local_class").orderBy("node_ord"))).select("scene_id", F.col("local_class").alias("lc"), "place", F.col("node_id").alias("by_place"))
-    d = rows.join(ids, (rows["scene_id"] == ids["scene_id"]) & (F.col(f"{p}_node_id") == F.col("by_id")), "left").drop(ids["scene_id"])
+    ids = nodes.select(F.col("scene_id").alias("sid"), F.col("node_id").alias("by_id"))
+    numbered = nodes.withColumn("place", F.row_number().over(Window.partitionBy("scene_id", "local_class").orderBy("node_ord"))).select(F.col("scene_id").alias("sid"), F.col("local_class").alias("lc"), "place", F.col("node_id").alias("by_place"))
+    d = rows.join(ids, (F.col("scene_id") == F.col("sid")) & (F.col(f"{p}_node_id") == F.col("by_id")), "left").drop("sid")
     cls = registry(X.l3_class(F.col(f"{p}_local_class")), 3)
-    d = d.join(numbered, (d["scene_id"] == numbered["scene_id"]) & (cls == F.col("lc")) & (X.row_text(F.col(f"{p}_index")).try_cast("int") == F.col("place")), "left").drop(numbered["scene_id"])
+    d = d.join(numbered, (F.col("scene_id") == F.col("sid")) & (cls == F.col("lc")) & (X.row_text(F.col(f"{p}_index")).try_cast("int") == F.col("place")), "left").drop("sid")
     return d.withColumn(f"{p}_id", F.coalesce("by_id", "by_place")).drop("by_id", "by_place", "lc", "place")
 
 
@@ -218,8 +228,8 @@ def measurements(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFram
 
 def build(rows: DataFrame, relations: DataFrame, evidence: DataFrame | None = None, context: DataFrame | None = None, measured: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of all scenes: elements and satellites, composition, ensembles, contextual relations, measurements."""
-    found = elements(rows)
-    nodes = element_nodes(found)
+    found = cut(elements(rows))
+    nodes = cut(element_nodes(found))
     shared, edges = satellites(found)
     index = spatial_index(relations)
     all_nodes, all_edges = nodes.unionByName(shared), edges.unionByName(composition_edges(nodes, index))

@@ -207,7 +207,7 @@ def fixed(c: Column, digits: int) -> Column:
 
     @F.pandas_udf("string")
     def form(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: f"{x:.{digits}f}", na_action="ignore")
+        return pd.Series([None if pd.isna(x) else f"{x:.{digits}f}" for x in v], dtype=object)
 
     return form(c)
 

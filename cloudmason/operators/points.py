@@ -89,9 +89,11 @@ def _dbscan_tile(eps: float, least: int):
     """Own points as (kind, id, body): core points in their local body, core guests as ties, border points per body."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
             return
+        table = pa.Table.from_batches(parts)
+        del parts
         d = {c: table.column(c).to_numpy() for c in table.column_names}
         xyz = np.column_stack([d[c] for c in "xyz"]).astype(float)
         group = np.unique(d["key"].astype(np.uint64) * np.uint64(31) + d["check"].astype(np.int64).astype(np.uint64), return_inverse=True)[1]

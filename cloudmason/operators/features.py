@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cloudmason.functions import geometry as G
 from cloudmason.functions import vocabulary as V
+from cloudmason.functions.frames import plain
 from cloudmason.operators.components import join_labels
 from cloudmason.operators.relations import with_roles
 
@@ -143,8 +144,8 @@ def outer_columns(objects: DataFrame) -> DataFrame:
     columns = objects.filter(F.col("semantic_label") == "column").select("scene_id", "obj_ord", "obj_name", "cx", "cy")
     schema = "scene_id string, obj_ord int, obj_name string, cx double, cy double"
     parts = columns.withColumn("part", F.floor(F.col("obj_ord") / 20_000)).groupBy("scene_id", "part")
-    some = parts.applyInPandas(lambda own: corners(own.drop(columns="part")), schema)
-    return some.groupBy("scene_id").applyInPandas(corners, schema).select("scene_id", "obj_name")
+    some = parts.applyInPandas(lambda own: plain(corners(own.drop(columns="part"))), schema)
+    return some.groupBy("scene_id").applyInPandas(lambda own: plain(corners(own)), schema).select("scene_id", "obj_name")
 
 
 def dominant(objects: DataFrame, relations: DataFrame) -> DataFrame:

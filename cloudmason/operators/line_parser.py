@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloudmason.functions.frames import plain
+
 # The two documented column layouts, the coordinate columns and the error texts of spreadsheet programs.
 TEXT_FIELDS = ["semantic_label", "description", "historical_description", "material_description", "material", "typology", "function", "notes"]
 CENTRE_FIELDS = ["global_box_center_x", "global_box_center_y", "global_box_center_z"]
@@ -126,7 +128,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frame.insert(1, "source_csv", batch["source_csv"].array)
         frame.insert(2, "source_row", batch["source_row"].astype("Int32").array)
         frame[CENTRE_FIELDS] = frame[CENTRE_FIELDS].astype("Float64")
-        yield frame
+        yield plain(frame)
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:

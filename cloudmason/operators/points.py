@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudmason.functions import vocabulary as V
+from cloudmason.functions.frames import plain
 from cloudmason.operators.components import join_labels
 from cloudmason.operators.dims import class_rules
 from cloudmason.operators.point_grid import FORWARD, PAIRS, Cells, components, distance2, point_pairs
@@ -236,7 +237,7 @@ def surface_areas(points: DataFrame, clusters: DataFrame, part_rows: int = 50_00
     def corners(own: pd.DataFrame) -> pd.DataFrame:
         p = own[["x", "y", "z"]].to_numpy()
         f = hull_faces(p)
-        return own.iloc[np.unique(f)][["scene_id", "obj_name", "x", "y", "z"]] if len(f) else own[["scene_id", "obj_name", "x", "y", "z"]]
+        return plain(own.iloc[np.unique(f)] if len(f) else own)[["scene_id", "obj_name", "x", "y", "z"]]
 
     def area(own: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"scene_id": [own["scene_id"].iloc[0]], "obj_name": [own["obj_name"].iloc[0]], "surface_area": [hull_area(own[["x", "y", "z"]].to_numpy())]})

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloudmason.functions.frames import plain
 from cloudmason.session import partitions
 
 #: Rows, at most about, that shape the quadtree. It affects only the balance of the partitions, never the result.
@@ -146,7 +147,7 @@ def _place(tree: QuadTree, reach: float) -> Callable[[Iterator[pd.DataFrame]], I
             rows, leaves = tree.place(batch[LO[:2]].to_numpy(float) - reach, batch[HI[:2]].to_numpy(float) + reach)
             out = batch.iloc[rows].copy()
             out.insert(1, "leaf", leaves.astype("int32"))
-            yield out
+            yield plain(out)
 
     return run
 

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cloudmason.functions.frames import plain
+
 #: Entries up to which the tree is shipped whole; a longer list is sharded.
 MAX_BROADCAST_ENTRIES = 50_000
 SHARD_ENTRIES = 20_000
@@ -189,7 +191,7 @@ class Canon:
         if m := _CODE.fullmatch(fold(typed).strip("[](){}\"' ?.")) or _CODE.fullmatch(folded):
             return (int(m[1]), m[1], 0) if int(m[1]) in self.codes else (NONE, None, 0)
         code = None
-        if m := _CODED.fullmatch(folded):
+        if m := _CODED.fullmatch(fold(typed)) or _CODED.fullmatch(folded):
             code, folded = int(m[1]), _clean(m[2])
         forms = dict.fromkeys([folded, re.sub(r"[\s_/.-]+", " ", folded).strip()])
         for form in list(forms):
@@ -228,7 +230,7 @@ def map_values(values: DataFrame, column: str, canon: Canon) -> DataFrame:
         meaning = lru_cache(maxsize=200_000)(canon.meaning)
         for batch in batches:
             got = [meaning(v) if isinstance(v, str) and v.strip() else (None, None, None) for v in batch[column]]
-            yield batch.assign(canon_id=pd.array([g[0] for g in got], "Int32"), canon_entry=[g[1] for g in got], canon_distance=pd.array([g[2] for g in got], "Int32"))
+            yield plain(batch.assign(canon_id=pd.array([g[0] for g in got], "Int32"), canon_entry=[g[1] for g in got], canon_distance=pd.array([g[2] for g in got], "Int32")))
 
     added = [T.StructField("canon_id", T.IntegerType()), T.StructField("canon_entry", T.StringType()), T.StructField("canon_distance", T.IntegerType())]
     return values.mapInPandas(run, T.StructType([*values.schema.fields, *added]))

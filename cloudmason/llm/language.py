@@ -17,12 +17,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloudmason.functions.frames import plain
+
 LANGUAGES = ["it", "en", "fr", "de", "es", "pt"]
 #: Labelled documents per language that the model is fitted on, at most; candidates are drawn by a hash of their id.
 TRAIN_DOCS = 400
 #: n-gram orders and the slots of the hashed table of each order.
 ORDERS, SLOTS = (1, 2, 3, 4), 1 << 16
 REFITS = 3
+WHOLE_CHARS = 2000
 #: Natural-log likelihood, per character made comparable across orders, that a further language must bring.
 PENALTY = 4.0
 EM_STEPS = 12
@@ -127,7 +130,10 @@ class LanguageModel:
 def train(texts: list[str], labels: list[str]) -> LanguageModel:
     """Fit on whole documents by label, then on their sentences by what the model itself takes them for."""
     onehot = np.eye(len(LANGUAGES))[[LANGUAGES.index(x) for x in labels]]
-    model = LanguageModel.fit(texts, onehot)
+    # a document counts as much as WHOLE_CHARS characters at most: one long text with a wrong label must not make a language
+    size = np.array([max(1, len(t)) for t in texts])
+    even = np.minimum(1.0, WHOLE_CHARS / size)
+    model = LanguageModel.fit(texts, onehot * even[:, None])
     parts = [(s.text, i) for i, t in enumerate(texts) for s in sentences(t)]
     if not parts:
         return model
@@ -135,7 +141,7 @@ def train(texts: list[str], labels: list[str]) -> LanguageModel:
     for _ in range(REFITS):
         ll = model.score([p for p, _ in parts]) / 2 + prior
         share = np.exp(ll - ll.max(1, keepdims=True))
-        model = LanguageModel.fit([p for p, _ in parts], share / share.sum(1, keepdims=True))
+        model = LanguageModel.fit([p for p, _ in parts], share / share.sum(1, keepdims=True) * even[[i for _, i in parts]][:, None])
     return model
 
 
@@ -226,7 +232,7 @@ def find_languages(documents: DataFrame) -> DataFrame:
                     for a, b in zip(edges[:-1], edges[1:], strict=True):
                         k = pick[a]
                         rows.append((doc, lang, own[a].start, own[b - 1].end, int(b - a), LANGUAGES[subset[k]], float(resp[a:b, k].mean()), float(share[k])))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in SPANS.split(", ")])
+                yield plain(pd.DataFrame(rows, columns=[c.split()[0] for c in SPANS.split(", ")]))
 
     wanted = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     return wanted.mapInPandas(judge, SPANS)

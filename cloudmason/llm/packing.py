@@ -102,7 +102,7 @@ def _packer(capacity: int, credits: dict[str, float], last: bool):
             containers, left = pack(items, credits, capacity)
             out = [(part, k, i, piece, s, size, not last and sum(x[1] for x in c) < OPEN_BELOW * capacity) for k, c in enumerate(containers) for s, size, i, piece in c]
             out += [(part, -1, None, None, s, round(v), False) for s, v in left.items()]  # the credits that are carried on
-            yield pd.DataFrame(out, columns=["part", "seq", "item_id", "piece", "source", "size", "open"]).astype({"item_id": "Int64", "piece": "Int32", "seq": "int32", "size": "int32", "part": "int64"})
+            yield pd.DataFrame(out, columns=["part", "seq", "item_id", "piece", "source", "size", "open"]).astype({"item_id": "Int64", "piece": "Int32", "seq": "int32", "size": "int32", "part": "int64", "source": object})
 
     return run
 

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloudmason.functions.frames import plain
 from cloudmason.session import cut, partitions
 
 #: Guards floor() against the last bit of a running sum.
@@ -64,7 +65,7 @@ def _settle_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows = [b for b in batches if len(b)]
     if rows:
         for _, own in pd.concat(rows, ignore_index=True).groupby("plan_id"):
-            yield settle(own, float(own["start"].iloc[0]))[[c.split()[0] for c in SETTLED.split(", ")]]
+            yield plain(settle(own, float(own["start"].iloc[0]))[[c.split()[0] for c in SETTLED.split(", ")]])
 
 
 def allocate(plan: DataFrame, available: DataFrame, seed: int) -> DataFrame:

@@ -144,9 +144,16 @@ def overlapping(objects: DataFrame) -> DataFrame:
 
 
 def first_rows(rows: DataFrame, order: list, limit: int, by: tuple[str, ...] = ("scene_id",)) -> DataFrame:
-    """The first limit rows of each group, with shown_rank and the group's row count."""
-    w = Window.partitionBy(*by)
-    return rows.withColumn("n_all", F.count("*").over(w)).withColumn("shown_rank", F.row_number().over(w.orderBy(*order))).filter(F.col("shown_rank") <= limit)
+    """The first limit rows of each group, with shown_rank. The rank filter is pushed below the shuffle, so that no more
+    than limit rows of a group leave a task."""
+    return rows.withColumn("shown_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("shown_rank") <= limit)
+
+
+def shown_counts(rows: DataFrame, order: list, limit: int, parts: list[str]) -> DataFrame:
+    """scene_id, parts, shown, hidden: how many of the first limit rows of a scene fall to each part, and how many rows of
+    the scene are not shown."""
+    shown = first_rows(rows, order, limit).groupBy("scene_id", *parts).agg(F.count("*").alias("shown"))
+    return shown.join(rows.groupBy("scene_id").agg(F.count("*").alias("n_all")), "scene_id").select("scene_id", *parts, "shown", (F.col("n_all") - F.least("n_all", F.lit(limit))).alias("hidden"))
 
 
 def undirected(relations: DataFrame) -> DataFrame:

@@ -540,8 +540,7 @@ def b16_b17_filtered_graph(s, d):
 def w5_t10_row_budget(s, d):
     a = l1(s, d).select("scene_id", F.lit(1).alias("layer_ord"), "ord_a", "ord_b", "k", "source", "target", "rel_type")
     b = evidence(s, d).select("scene_id", F.lit(2).alias("layer_ord"), F.lit(0).alias("ord_a"), F.lit(0).alias("ord_b"), F.lit(0).alias("k"), "source", "target", "rel_type")
-    shown = R.first_rows(a.unionByName(b), ["layer_ord", "ord_a", "ord_b", "k", "source", "target", "rel_type"], 30)
-    return shown.groupBy("scene_id", "layer_ord").agg(F.count("*").alias("shown"), (F.first("n_all") - F.least(F.first("n_all"), F.lit(30))).alias("hidden"))
+    return R.shown_counts(a.unionByName(b), ["layer_ord", "ord_a", "ord_b", "k", "source", "target", "rel_type"], 30, ["layer_ord"])
 
 
 @query("SELECT scene_id, obj_name, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY coalesce(point_count, 0) DESC, obj_ord) AS k FROM objects) WHERE k <= 5")

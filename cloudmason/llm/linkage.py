@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloudmason.functions.frames import plain
 from cloudmason.llm.canonical import NONE, Canon, fold, map_values
 from cloudmason.operators.components import join_labels
 from cloudmason.session import cut, partitions
@@ -26,7 +27,9 @@ UNITS = [1.0, 1000.0, 100.0, 3.280839895]
 BIN = 0.25
 #: Pairs that must agree on a scene's shift before it is believed.
 LEAST_VOTES = 4
-ITERATIONS, RHO = 120, 1.0
+ITERATIONS, RHO = 400, 1.0
+#: Candidate pairs of one connected group that one task solves at once; a larger group is solved in alternating rounds.
+TASK_PAIRS, WIDE_ROUNDS = 300_000, 40
 W_EXCLUSIVE, W_TRANSITIVE = 6.0, 2.0
 MATCH = 0.5
 
@@ -123,7 +126,7 @@ def evidence(pairs: DataFrame) -> DataFrame:
     return pairs.select("*", pos.alias("pro"), neg.alias("con"))
 
 
-def solve(pro: np.ndarray, con: np.ndarray, c: np.ndarray, v: np.ndarray, b: np.ndarray, w: np.ndarray, iterations: int = ITERATIONS) -> np.ndarray:
+def solve(pro: np.ndarray, con: np.ndarray, c: np.ndarray, v: np.ndarray, b: np.ndarray, w: np.ndarray, iterations: int | None = None) -> np.ndarray:
     """argmin over y in [0,1] of sum pro(1-y)^2 + con y^2 + sum w max(0, c.y[v] - b), by consensus ADMM.
 
     v, c: (rules, 2) variables and coefficients of each hinge. Every hinge has its own copies of its two variables.
@@ -135,7 +138,7 @@ def solve(pro: np.ndarray, con: np.ndarray, c: np.ndarray, v: np.ndarray, b: np.
     x, u = z[v], np.zeros(v.shape)
     copies = np.bincount(v.ravel(), minlength=n)
     norm = (c * c).sum(1)
-    for _ in range(iterations):
+    for _ in range(iterations or ITERATIONS):
         at = z[v] - u
         over = (c * at).sum(1) - b
         step = np.clip(over / norm, 0, w / RHO)
@@ -158,8 +161,8 @@ def _chains(key: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[:-1][same], order[1:][same]
 
 
-def rules(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hinges (c, v, b, w) over the candidate pairs p."""
+def rules(p: pd.DataFrame, of_left: bool = True, of_right: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hinges (c, v, b, w) over the candidate pairs p: those among pairs of one left row, and of one right row."""
     code = lambda s: pd.factorize(s)[0]
     left, right = code(p["id"]), code(p["r_id"])
     odds = (p["pro"] - p["con"]).to_numpy()
@@ -174,7 +177,7 @@ def rules(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         return ~clash & (np.isnan(d) | (d < 1.5))
 
     found = []
-    for own, other in ((left, "r_"), (right, "")):
+    for own, other in ((left, "r_"),) * of_left + ((right, ""),) * of_right:
         best = np.lexsort((-odds, own))
         first = best[np.r_[True, own[best][1:] != own[best][:-1]]]
         leader = np.empty(own.max() + 1, int)
@@ -203,6 +206,45 @@ def _solve_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"id": p["id"], "r_id": p["r_id"], "confidence": y})
 
 
+WIDE = "head long, id long, r_id long, pro double, con double, x double, y double, r_x double, r_y double, mat string, typ string, r_mat string, r_typ string, v double, u_left double, u_right double, x_left double"
+
+
+def _half_step(left_side: bool):
+    """One direction of the alternating method over a partition by left or by right row: the rules of that side are solved
+    against the common values; after the right side the common values and both multipliers are renewed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        p = pd.concat(parts, ignore_index=True)
+        t = (p["v"] - p["u_left" if left_side else "u_right"]).to_numpy()
+        c, v, b, w = rules(p, left_side, not left_side)
+        x = solve(RHO / 2 * t, RHO / 2 * (1 - t), c, v, b, w)  # RHO / 2 (x - t)^2 in the form of the similarity rules
+        if left_side:
+            p["x_left"] = x
+        else:
+            pull = RHO * (p["x_left"] + p["u_left"] + x + p["u_right"])
+            z = np.clip((pull + 2 * p["pro"]) / (2 * RHO + 2 * p["pro"] + 2 * p["con"]), 0, 1)
+            p["u_left"] += p["x_left"] - z
+            p["u_right"] += x - z
+            p["v"] = z
+        yield plain(p)
+
+    return run
+
+
+def solve_wide(pairs: DataFrame) -> DataFrame:
+    """id, r_id, confidence for connected groups too large for one task: each round is two shuffles, by left and by right
+    row, and a checkpoint; a rule never needs more than the candidates of one row."""
+    n = partitions(pairs.sparkSession)
+    start = F.col("pro") / F.greatest(F.col("pro") + F.col("con"), F.lit(1e-12))
+    state = cut(pairs.select("head", "id", "r_id", "pro", "con", "x", "y", "r_x", "r_y", "mat", "typ", "r_mat", "r_typ", start.alias("v"), F.lit(0.0).alias("u_left"), F.lit(0.0).alias("u_right"), F.lit(0.0).alias("x_left")))
+    for _ in range(WIDE_ROUNDS):
+        state = cut(state.repartition(n, "id").mapInPandas(_half_step(True), WIDE).repartition(n, "r_id").mapInPandas(_half_step(False), WIDE))
+    return state.select("id", "r_id", F.col("v").alias("confidence"))
+
+
 def link(left: DataFrame, right: DataFrame) -> DataFrame:
     """left_id, right_id, confidence of the pairs that match (confidence of at least MATCH).
 
@@ -233,8 +275,11 @@ def link(left: DataFrame, right: DataFrame) -> DataFrame:
     pairs = cut(evidence(pairs).filter(F.col("pro") * 1.5 + 1 > F.col("con")).select("id", "r_id", "pro", "con", "x", "y", "r_x", "r_y", "mat", "typ", "r_mat", "r_typ"))
     node = lambda c, salt: F.xxhash64(F.col(c), F.lit(salt))
     heads = join_labels(pairs.select(node("id", 1).alias("a"), node("r_id", 2).alias("b")))
-    labelled = pairs.withColumn("node", node("id", 1)).join(heads, "node", "left").withColumn("head", F.coalesce("head", "node"))
-    solved = labelled.drop("node").repartition(partitions(spark), "head").mapInPandas(_solve_parts, "id long, r_id long, confidence double")
+    labelled = cut(pairs.withColumn("node", node("id", 1)).join(heads, "node", "left").withColumn("head", F.coalesce("head", "node")).drop("node"))
+    wide = cut(labelled.groupBy("head").count().filter(F.col("count") > TASK_PAIRS).select("head"))
+    solved = labelled.join(wide, "head", "left_anti").repartition(partitions(spark), "head").mapInPandas(_solve_parts, "id long, r_id long, confidence double")
+    if wide.take(1):
+        solved = solved.unionByName(solve_wide(labelled.join(wide, "head", "left_semi")))
     matched = solved.filter(F.col("confidence") >= MATCH)
     out = matched.join(a_rows.select(F.col("id").alias("left_id"), F.col("key").alias("id")), "id").join(b_rows.select(F.col("id").alias("right_id"), F.col("key").alias("r_id")), "r_id")
     return out.select("left_id", "right_id", F.round("confidence", 6).alias("confidence"))

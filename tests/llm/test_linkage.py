@@ -73,6 +73,18 @@ def test_solver_reaches_the_optimum(seed):
     assert np.allclose(L.solve(pro, con, np.zeros((0, 2)), np.zeros((0, 2), int), np.zeros(0), np.zeros(0)), pro / (pro + con))
 
 
+def test_wide_groups_give_the_same_values(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    a = [(i, "s", "wall", float(5 + i // 2), 5.0 + (i % 2), 0.0, L.MATERIALS[i % 3][0], None, None) for i in range(40)]
+    b = [(1000 + i, "s", "wall", float(5 + i // 2 + rng.normal(0, 0.3)), 5.0 + (i % 2), 0.0, L.MATERIALS[i % 3][1], None, None) for i in range(40)]
+    monkeypatch.setattr(L, "MATCH", 0.0)
+    whole = pairs(spark, a, b)
+    monkeypatch.setattr(L, "TASK_PAIRS", 5)
+    parted = pairs(spark, a, b)
+    assert len(whole) > 20 and set(whole) == set(parted)
+    assert max(abs(whole[k] - parted[k]) for k in whole) < 0.05
+
+
 def test_exclusivity_lowers_the_weaker(spark):
     a = [(1, "s", "wall", 5.0, 5.0, 0.0, "lead sheet", None, None)] + [(k + 10, "s", "wall", 10.0 * k, 50.0, 0.0, "oak timber", "plain", None) for k in range(6)]
     b = [(1001, "s", "wall", 5.1, 5.0, 0.0, "lead sheet", None, None), (1002, "s", "wall", 6.9, 5.0, 0.0, None, None, None)] + [(k + 1010, "s", "wall", 10.0 * k, 50.0, 0.0, "oak timber", "plain", None) for k in range(6)]

@@ -156,7 +156,7 @@ def dbscan(points: DataFrame, eps: float = V.EPS_M, least: int = V.MIN_SAMPLES)
     for c in "xyz":
         inner &= (F.col(c) >= F.col(f"n{c}") * TILE_M - near) & (F.col(c) < (F.col(f"n{c}") + 1) * TILE_M + near)
     tiles = t.select(F.xxhash64("scene_id", "label", "nx", "ny", "nz").alias("key"), F.hash("label", "scene_id", "nz", "ny", "nx").alias("check"), "id", "x", "y", "z", own.alias("own"), inner.alias("inner"))
-    pieces = cut(tiles.repartition(partitions(points.sparkSession), "key").mapInArrow(_dbscan_tile(eps, least), "kind string, id long, body long"))
+    pieces = cut(tiles.repartition(partitions(points.sparkSession, tiles.count()), "key").mapInArrow(_dbscan_tile(eps, least), "kind string, id long, body long"))
     cores = pieces.filter("kind = 'core'").select("id", "body")
     ties = pieces.filter("kind = 'tie'").select("id", F.col("body").alias("other"))
     heads = join_labels(ties.join(cores, "id").select(F.col("body").alias("a"), F.col("other").alias("b")).distinct())

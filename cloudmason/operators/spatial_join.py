@@ -179,17 +179,18 @@ def _probe(tree: QuadTree, refine: Callable, reach: float) -> Callable[[Iterator
     return run
 
 
-def sample_tree(sides: list[DataFrame], least_side: float) -> QuadTree:
-    """A quadtree from at most about SAMPLE_ROWS rows of each side; only these rows reach the driver."""
-    found = []
+def sample_tree(sides: list[DataFrame], least_side: float) -> tuple[QuadTree, int]:
+    """A quadtree from at most about SAMPLE_ROWS rows of each side, and the rows of both; only the sample reaches the driver."""
+    found, rows = [], 0
     for side in sides:
         n = side.count()
+        rows += n
         some = side.select("lo_x", "hi_x", "lo_y", "hi_y")
         if n > SAMPLE_ROWS:
             some = some.sample(fraction=SAMPLE_ROWS / n, seed=7).limit(2 * SAMPLE_ROWS)
         p = some.toPandas().to_numpy(float)
         found.append(np.column_stack([(p[:, 0] + p[:, 1]) / 2, (p[:, 2] + p[:, 3]) / 2]) if len(p) else np.zeros((0, 2)))
-    return QuadTree.grow(np.concatenate(found), least_side)
+    return QuadTree.grow(np.concatenate(found), least_side), rows
 
 
 def box_join(left: DataFrame, right: DataFrame, refine: Callable, least_side: float, reach: float = 0.0) -> DataFrame:
@@ -207,7 +208,7 @@ def box_join(left: DataFrame, right: DataFrame, refine: Callable, least_side: fl
         return d.dropna()
 
     left, right = usable(left), usable(right)
-    tree = sample_tree([left, right], least_side)
+    tree, rows = sample_tree([left, right], least_side)
     placed = "grp string, leaf int, id long, " + ", ".join(f"{c} double" for c in LO + HI)
     sides = [d.select("grp", "id", *LO, *HI).mapInPandas(_place(tree, by), placed) for d, by in ((left, 0.0), (right, reach))]
     counts = [s.groupBy("grp", "leaf").count().filter(F.col("count") > BLOCK_ROWS).select("grp", "leaf", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias(f"n{k}")) for k, s in enumerate(sides)]
@@ -223,7 +224,7 @@ def box_join(left: DataFrame, right: DataFrame, refine: Callable, least_side: fl
         return d.select("grp", "leaf", F.lit(side).alias("side"), "id", *LO, *HI, own.alias(names[0]), others.alias(names[1])).select("grp", "leaf", "side", "id", *LO, *HI, "block_l", "block_r")
 
     both = blocks(sides[0], 0).unionByName(blocks(sides[1], 1))
-    return both.repartition(partitions(spark), "grp", "leaf", "block_l", "block_r").mapInPandas(_probe(tree, refine, reach), "grp string, left_id long, right_id long, measure double")
+    return both.repartition(partitions(spark, rows), "grp", "leaf", "block_l", "block_r").mapInPandas(_probe(tree, refine, reach), "grp string, left_id long, right_id long, measure double")
 
 
 def near_pairs(points: DataFrame, radius: float) -> DataFrame:

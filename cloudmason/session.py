@@ -43,6 +43,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def partitions(spark: SparkSession) -> int:
-    """The configured number of shuffle partitions, for repartitioning by key in proportion to the cluster."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(spark: SparkSession, rows: int = 0, per_task: int = 400_000) -> int:
+    """Shuffle partitions for tasks that hold their rows as arrays: the configured number, or more where rows ask for it."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))

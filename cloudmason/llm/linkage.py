@@ -237,7 +237,7 @@ def _half_step(left_side: bool):
 def solve_wide(pairs: DataFrame) -> DataFrame:
     """id, r_id, confidence for connected groups too large for one task: each round is two shuffles, by left and by right
     row, and a checkpoint; a rule never needs more than the candidates of one row."""
-    n = partitions(pairs.sparkSession)
+    n = partitions(pairs.sparkSession, pairs.count())
     start = F.col("pro") / F.greatest(F.col("pro") + F.col("con"), F.lit(1e-12))
     state = cut(pairs.select("head", "id", "r_id", "pro", "con", "x", "y", "r_x", "r_y", "mat", "typ", "r_mat", "r_typ", start.alias("v"), F.lit(0.0).alias("u_left"), F.lit(0.0).alias("u_right"), F.lit(0.0).alias("x_left")))
     for _ in range(WIDE_ROUNDS):
@@ -277,7 +277,7 @@ def link(left: DataFrame, right: DataFrame) -> DataFrame:
     heads = join_labels(pairs.select(node("id", 1).alias("a"), node("r_id", 2).alias("b")))
     labelled = cut(pairs.withColumn("node", node("id", 1)).join(heads, "node", "left").withColumn("head", F.coalesce("head", "node")).drop("node"))
     wide = cut(labelled.groupBy("head").count().filter(F.col("count") > TASK_PAIRS).select("head"))
-    solved = labelled.join(wide, "head", "left_anti").repartition(partitions(spark), "head").mapInPandas(_solve_parts, "id long, r_id long, confidence double")
+    solved = labelled.join(wide, "head", "left_anti").repartition(partitions(spark, labelled.count()), "head").mapInPandas(_solve_parts, "id long, r_id long, confidence double")
     if wide.take(1):
         solved = solved.unionByName(solve_wide(labelled.join(wide, "head", "left_semi")))
     matched = solved.filter(F.col("confidence") >= MATCH)

@@ -236,25 +236,53 @@ def to_english(c: Column) -> Column:
     return c
 
 
-# Intents of questions: every list needs one of its words, none of the last list's may occur.
-INTENTS = {
-    "count": ([V.COUNT_WORDS], []),
-    "class_count": (list(V.CLASS_COUNT_WORDS), []),
-    "present_classes": ([["quali classi sono presenti", "che classi sono presenti", "classi presenti", "classi ci sono", "which classes are present", "what classes are present", "present classes"]], []),
-    "object_list": ([["elencami", "elenca", "lista", "mostra", "list", "show"], ["elementi", "elemento", "oggetti", "oggetto", "objects", "object"]], []),
-    "opening_in_wall": ([["apertura", "aperture", "porta", "finestra", "opening", "door", "window"], ["muro", "muri", "parete", "wall"]], []),
-    "area": ([["area", "superficie", "surface"]], []),
-    "coordinates": ([["coordinate", "coordinates", "centroide", "centroid", "box center", "centro"]], []),
-    "relationships": ([["relazioni", "relazione", "relationship", "relationships"]], []),
-    "support": ([["supporta", "supportano", "sostiene", "sostengono", "sorregge", "supports", "support"]], []),
-    "material": ([["materiale", "materiali", "materic", "material", "materials"]], []),
-    "above_below": ([["sopra", "sotto", "above", "below"]], []),
+# Intents of questions. Every list needs one of its words as a substring of the folded question.
+INTENTS: dict[str, list[list[str]]] = {
+    "count": [V.COUNT_WORDS],
+    "class_count": list(V.CLASS_COUNT_WORDS),
+    "present_classes": [["quali classi sono presenti", "che classi sono presenti", "classi presenti", "classi ci sono", "which classes are present", "what classes are present", "present classes"]],
+    "object_list": [["elencami", "elenca", "lista", "mostra", "list", "show"]],
+    "object_words": [["elementi", "elemento", "oggetti", "oggetto", "objects", "object"]],
+    "dominant": [["elemento dominante", "oggetto dominante", "elemento piu importante", "dominant element", "most important element", "most dominant"]],
+    "attribute": [["materiale", "materiali", "material", "materials", "materica", "materico", "tipologia", "tipo", "typology", "type", "funzione", "function"]],
+    "description": [["descrivi", "descrizione", "scheda", "storico", "storica", "storiche", "historical", "history", "descrittiva", "testuale", "textual", "materiale", "materiali", "material", "materials", "materica", "materico",
+                     "tipologia", "tipo", "typology", "type", "funzione", "function", "metadata", "metadati", "annotazione", "annotation", "csv"]],
+    "spatial_selector": [["centrale", "centro", "central", "middle", "sinistra", "left", "ovest", "west", "destra", "right", "est", "east", "sud", "south", "davanti", "front", "nord", "north", "dietro", "back",
+                          "bassa", "basso", "inferiore", "lower", "bottom", "alta", "alto", "superiore", "upper", "top"]],
+    "opening_in_wall": [["apertura", "aperture", "opening", "openings"], ["wall", "muro", "muri", "parete", "pareti"]],
+    "part_of": [["apertur", "opening", "openings", "ornament", "decor", "parte", "part of", "has_part", "is_opening_in", "is_ornament_of", "appartien", "apparten"]],
+    "load_bearing": [["load-bearing", "load bearing", "portanti", "portante", "strutturali", "strutturale"],
+                     ["which elements", "what elements", "which objects", "what objects", "quali elementi", "quali oggetti", "elementi sembrano", "oggetti sembrano"]],
+    "role": [["strutturale", "strutturali", "structural", "portante", "portanti", "load-bearing", "load bearing", "non portante", "non portanti", "non strutturale", "non strutturali", "non-structural", "non structural",
+              "ornamentale", "ornamentali", "ornamental", "decorativo", "decorativi", "opening", "apertura", "aperture", "circolazione", "distributiva", "passaggio", "accesso", "ruolo", "role", "funzione", "function"]],
+    "relation_words": [["relazione", "relazioni", "relationship", "relationships"]],
+    "class_words": [["classe", "classi", "altre classi", "semantic", "semantich", "con le altre", "con gli altri", "con altri"]],
+    "relationships": [["relazione", "relazioni", "relationship", "relationships"],
+                      ["quali", "che", "presenti", "presente", "tipi", "tipo", "conteggio", "distribuzione", "tutte", "tutti", "lista", "elenco", "fornisc", "elenca", "l1", "l2", "l3", "geometric", "structural", "mereolog",
+                       "near", "adjacent_to", "adiac", "above", "below", "sopra", "sotto", "supports", "rests_on"]],
+    "relationship_list": [["tutte", "tutti", "lista", "elenco", "elenca", "mostra", "dettaglio", "dettagli", "prime", "all relationships", "list", "show", "details"]],
+    "inconsistencies": [["incongruen", "contraddizion", "contraddittor", "inconsistent", "inconsistency", "inconsistencies", "contradiction", "contradictory", "anomaly", "anomalies", "invalid",
+                         "ambiguous relationship", "ambiguous relationships", "relazioni ambigue", "relazione ambigua"]],
+    "above_below": [["above", "below", "sopra", "sotto"], ["which elements", "what elements", "which objects", "what objects", "other elements", "altri elementi", "quali elementi", "quali oggetti"]],
+    "scene_brief": [["describe", "descrivi", "description", "descrizione"], ["scene", "scena"], ["brief", "briefly", "sintet", "short"]],
+    "subject_supports": [["cosa supportano", "che cosa supportano", "cosa sostengono", "che cosa sostengono", "cosa sorreggono", "che cosa sorreggono", "what do", "what does", "which elements do", "which elements does"]],
+    "supports_subject": [["da cosa", "da che cosa", "chi support", "what supports", "what is supporting", "which elements support", "cosa supporta", "cosa sostiene", "cosa sorregge"]],
+    "support": [["support", "supports", "supported", "supporting", "supporta", "supportano", "supportato", "supportata", "supportati", "supportate", "sostiene", "sostengono", "sostenuto", "sostenuta", "sostenuti", "sostenute",
+                 "sorregge", "sorreggono", "sorretto", "sorretta", "sorretti", "sorrette", "regge", "reggono", "hold up", "holds up", "held up"]],
+    "passive_support": [["supportato da", "supportata da", "supportati da", "supportate da", "sostenuto da", "sostenuta da", "sostenuti da", "sostenute da", "sorretto da", "sorretta da", "sorretti da", "sorrette da", "supported by", "held up by"]],
+    "area": [["area", "superficie occupata", "impronta", "footprint", "occupied area"]],
+    "volume": [["volume"]],
+    "coordinates": [["coordinate", "coordinates", "globali", "global coordinates", "centroide", "centroid", "global box center", "box center", "bbox center", "bounding box center", "centro box", "centro bounding", "centro aabb", "aabb center"]],
+    "material": [["materiale", "materiali", "materico", "materica", "material", "materials", "stone", "pietra", "marmo", "calcare", "brick", "bricks", "laterizio", "mattoni", "intonaco", "plaster", "stucco", "wood", "legno",
+                  "metal", "metallo", "glass", "vetro", "terracotta", "tile"]],
+    "inventory": [["quanti oggetti", "quanti elementi", "che tipi", "classi", "classe", "inventario", "assenti", "strutturali", "decorativi", "finishing"]],
+    "top_object": [["maggior numero di punti", "piu punti", "volume maggiore", "maggior volume", "piu volume", "piu compatto", "geometricamente compatto"]],
+    "distance": [["distanza", "distance", "vicin", "nearest", "closest", "quanto dista"]],
 }
 
 
 def intent(c: Column, name: str) -> Column:
-    every, none = INTENTS[name]
     found = F.lit(True)
-    for words in every:
+    for words in INTENTS[name]:
         found &= has_any(c, words)
-    return found & ~has_any(c, none) if none else found
+    return found

@@ -1,35 +1,61 @@
-"""Questions to data operators: the first handler whose intents are all present answers."""
+"""Questions to data operators: the first handler whose conditions hold answers."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudmason.functions import text as X
 
-#: (handler, intent or intents), in the order in which they are tried.
-HANDLERS: list[tuple[str, str | list[str]]] = [
-    ("class_count", "class_count"),
-    ("area", "area"),
-    ("coordinates", "coordinates"),
-    ("opening_in_wall", "opening_in_wall"),
-    ("relationships", "relationships"),
-    ("above_below", ["above_below", "count"]),
-    ("present_classes", "present_classes"),
-    ("count", "count"),
-    ("object_list", "object_list"),
-    ("support", "support"),
-    ("material", "material"),
+#: (handler, conditions) in the order in which they are tried. A condition is an intent, "label" (a class is named) or
+#: "pair" (two are); a leading "!" negates it.
+HANDLERS: list[tuple[str, list[str]]] = [
+    ("area_and_volume", ["area", "volume"]),
+    ("area", ["area"]),
+    ("coordinates", ["coordinates"]),
+    ("dominant_element", ["dominant"]),
+    ("opening_in_wall", ["opening_in_wall"]),
+    ("load_bearing", ["load_bearing"]),
+    ("class_pair_relations", ["relation_words", "pair"]),
+    ("class_relations", ["relation_words", "label"]),
+    ("class_relations", ["relation_words", "class_words"]),
+    ("inconsistencies", ["inconsistencies"]),
+    ("relationship_list", ["relationships", "relationship_list"]),
+    ("relationships", ["relationships"]),
+    ("above_below", ["above_below"]),
+    ("scene_brief", ["scene_brief"]),
+    ("class_role", ["role", "label"]),
+    ("part_of_classes", ["part_of", "pair"]),
+    ("objects_of_class", ["object_list", "label"]),
+    ("class_count", ["class_count"]),
+    ("present_classes", ["present_classes"]),
+    ("support_between", ["support", "pair"]),
+    ("open_support", ["support", "label"]),
+    ("distance", ["distance", "label"]),
+    ("count_of_class", ["count", "label"]),
+    ("annotated_description", ["description", "label"]),
+    ("object_list", ["object_list", "object_words"]),
+    ("requested_facts", ["inventory"]),
+    ("requested_facts", ["top_object"]),
+    ("requested_facts", ["volume"]),
+    ("material_inventory", ["material"]),
 ]
 
 
+def _holds(condition: str, folded: Column, classes: Column) -> Column:
+    name = condition.removeprefix("!")
+    held = F.size(classes) >= 1 if name == "label" else F.size(F.array_distinct(classes)) >= 2 if name == "pair" else X.intent(folded, name)
+    return ~held if condition[0] == "!" else held
+
+
 def route(questions: DataFrame, column: str) -> DataFrame:
-    """questions with handler, classes (named in the question) and language; unanswered where no handler fits."""
-    d = questions.withColumn("folded_", X.fold(F.col(column)))
+    """questions with handler, classes (named in the question, in order), language and passive (of support questions);
+    unanswered where no handler fits. A null question is unanswered."""
+    d = questions.withColumn("folded_", F.coalesce(X.fold(F.col(column)), F.lit(""))).withColumn("classes", F.coalesce(X.question_classes(F.col(column)), F.array().cast("array<string>")))
     handler = F.lit("unanswered")
-    for name, intents in reversed(HANDLERS):
+    for name, conditions in reversed(HANDLERS):
         found = F.lit(True)
-        for i in [intents] if isinstance(intents, str) else intents:
-            found &= X.intent(F.col("folded_"), i)
+        for c in conditions:
+            found &= _holds(c, F.col("folded_"), F.col("classes"))
         handler = F.when(found, name).otherwise(handler)
-    return d.withColumn("handler", handler).withColumn("classes", X.question_classes(F.col(column))).withColumn("language", X.response_language(F.col(column))).drop("folded_")
+    return d.withColumn("handler", handler).withColumn("language", X.response_language(F.col("folded_"))).withColumn("passive", X.intent(F.col("folded_"), "passive_support")).drop("folded_")

@@ -11,6 +11,7 @@ from cloudmason.functions import geometry as G
 from cloudmason.functions import text as X
 from cloudmason.functions import vocabulary as V
 from cloudmason.operators import annotations as A
+from cloudmason.operators import answers as N
 from cloudmason.operators import features as S
 from cloudmason.operators import points as P
 from cloudmason.operators import relations as R
@@ -610,3 +611,31 @@ def t21_reloaded_scene(s, d):
     p = points(s, d)
     o = P.objects_of(p, P.dbscan(p, eps=0.6, least=20)).withColumn("obj_ord", F.col("cluster_id") * 10 + F.abs(F.hash("semantic_label")) % 10)
     return R.relationships(o, 2.0).groupBy("scene_id", "rel_type").agg(F.count("*").alias("n"))
+
+
+_LISTS = " UNION ALL ".join(f"SELECT scene_id, '{a}' AS answer, '{sec}' AS section, count(*) AS n, string_agg(obj_name, ', ' ORDER BY obj_name) AS names FROM objects WHERE semantic_label IN ({Q.quoted(cs)}) GROUP BY scene_id" for a, sec, cs in N.SECTIONS)
+
+
+@query(_LISTS)
+def answers_p5_p11_p15_lists(s, d):
+    return N.object_lists(objects(s, d))
+
+
+@query(f"WITH {Q.L1}, {Q.EVIDENCE}, a AS (SELECT scene_id, count(*) AS n FROM l1 GROUP BY scene_id), b AS (SELECT scene_id, count(*) AS n FROM evidence GROUP BY scene_id) SELECT o.scene_id, coalesce(a.n, 0) AS n_l1, coalesce(b.n, 0) AS n_evidence, CASE WHEN coalesce(b.n, 0) > 0 THEN 'geometry_and_structural_evidence' WHEN coalesce(a.n, 0) > 0 THEN 'geometry_without_structural_evidence' ELSE 'no_relations' END AS reading FROM (SELECT DISTINCT scene_id FROM objects) o LEFT JOIN a USING (scene_id) LEFT JOIN b USING (scene_id)")
+def answers_p17_p19_layers(s, d):
+    return N.layer_sizes(objects(s, d), l1(s, d), evidence(s, d))
+
+
+@query(f"WITH {Q.COUNTS}, t AS (SELECT scene_id, CASE WHEN n_column >= 4 AND n_roof + n_vault > 0 AND n_floor > 0 THEN 'covered_colonnaded_space' WHEN n_wall > 0 AND n_floor > 0 AND n_roof + n_vault > 0 THEN 'covered_interior' WHEN n_arch + n_vault > 0 THEN 'vaulted_or_arched_space' WHEN n_stairs > 0 THEN 'vertical_circulation_space' ELSE 'partial_scene' END AS typology FROM counts) SELECT scene_id, count(*) AS n_objects, count(DISTINCT semantic_label) AS n_classes, count(DISTINCT {Q.ROLE}) AS n_roles, arg_max(obj_name, (coalesce(point_count, 0), -obj_ord)) AS most_sampled, any_value(typology) AS typology FROM objects JOIN t USING (scene_id) GROUP BY scene_id")
+def answers_p1_summary(s, d):
+    return N.scene_summary(objects(s, d))
+
+
+@query()
+def answers_p6_columns(s, d):
+    return N.organising(objects(s, d))
+
+
+@query(f"WITH {Q.EVIDENCE}, r AS (SELECT *, row_number() OVER (PARTITION BY scene_id, rel_type ORDER BY source, target) AS k FROM evidence) SELECT scene_id, rel_type, source, target FROM r WHERE k <= 20")
+def answers_p10_supports(s, d):
+    return R.first_rows(evidence(s, d), ["source", "target"], 20, ("scene_id", "rel_type")).select("scene_id", "rel_type", "source", "target")

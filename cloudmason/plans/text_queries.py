@@ -205,8 +205,7 @@ def f35_phrases(s, d):
 
 
 def _intent(name: str) -> str:
-    every, none = X.INTENTS[name]
-    return " AND ".join(Q.any_of("t", w) for w in every) + (f" AND NOT {Q.any_of('t', none)}" if none else "")
+    return " AND ".join(Q.any_of("t", w) for w in X.INTENTS[name])
 
 
 @query("SELECT doc_id, " + ", ".join(f"({_intent(n)}) AS {n}" for n in X.INTENTS) + f" FROM (SELECT doc_id, {Q.fold('text')} AS t FROM documents WHERE text IS NOT NULL)")
@@ -288,9 +287,23 @@ def a14_question_list(s, d):
     return questions(documents(s, d).filter(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("?"), F.lit("?\n")), "\n")).alias("line_no", "line")))
 
 
-_ROUTED = " ".join(f"WHEN {_intent(i) if isinstance(i, str) else ' AND '.join(_intent(x) for x in i)} THEN '{h}'" for h, i in router.HANDLERS)
+_WORDS = sorted((w for _, ws in V.TEXT_WORDS for w in ws), key=lambda w: -len(w))
+_CLASSES = "regexp_extract_all(t, '\\b(" + "|".join(_WORDS) + ")\\b', 1)"
+_NAMED = "list_transform(cs, lambda w: " + Q.case("w", {w: label for label, ws in V.TEXT_WORDS for w in ws}, "NULL") + ")"
 
 
-@query(f"WITH {ANSWERS} SELECT answer_id, CASE {_ROUTED} ELSE 'unanswered' END AS handler FROM (SELECT answer_id, {Q.fold('question')} AS t FROM ans)")
+def _condition(c: str) -> str:
+    return "len(cs) >= 1" if c == "label" else f"len(list_distinct({_NAMED})) >= 2" if c == "pair" else _intent(c)
+
+
+_ROUTED = " ".join(f"WHEN {' AND '.join(map(_condition, cs))} THEN '{h}'" for h, cs in router.HANDLERS)
+
+
+@query(f"WITH {ANSWERS} SELECT answer_id, CASE {_ROUTED} ELSE 'unanswered' END AS handler FROM (SELECT answer_id, t, {_CLASSES} AS cs FROM (SELECT answer_id, {Q.fold('question')} AS t FROM ans))")
 def r1_r26_router(s, d):
     return router.route(answers(s, d), "question").select("answer_id", "handler")
+
+
+@query(f"SELECT doc_id, CASE {_ROUTED} ELSE 'unanswered' END AS handler FROM (SELECT doc_id, t, {_CLASSES} AS cs FROM (SELECT doc_id, {Q.fold('text')} AS t FROM documents WHERE text IS NOT NULL))")
+def r1_r26_router_on_texts(s, d):
+    return router.route(documents(s, d).filter(F.col("text").isNotNull()), "text").select("doc_id", "handler")

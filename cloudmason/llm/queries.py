@@ -60,7 +60,10 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _canon(spark: SparkSession, sf_dir: str) -> tuple[canonical.Canon, list[str]]:
-    rows = [r.asDict() for r in table(spark, sf_dir, "class_list").limit(canonical.MAX_BROADCAST_ENTRIES).collect()]
+    listed = table(spark, sf_dir, "class_list")
+    if listed.count() > canonical.MAX_BROADCAST_ENTRIES:
+        raise ValueError("a list this long is mapped with canonical.nearest_entries")
+    rows = [r.asDict() for r in listed.collect()]
     return canonical.Canon(canonical.class_entries(rows), [r["class_id"] for r in rows]), [r["semantic_label"] for r in rows]
 
 

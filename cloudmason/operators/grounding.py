@@ -7,16 +7,14 @@ from pyspark.sql import functions as F
 
 from cloudmason.functions import text as X
 from cloudmason.functions import vocabulary as V
-from cloudmason.operators.dims import class_rules
 
 ABSENT = "\\b(?:" + "|".join(V.ABSENCE_MARKERS) + ")|\\bno\\b"
 
 
 def absent_classes(objects: DataFrame) -> DataFrame:
     """scene_id, semantic_label of the classes a scene has no object of."""
-    scenes = objects.select("scene_id").distinct()
-    pairs = scenes.crossJoin(F.broadcast(class_rules(objects.sparkSession).select("semantic_label")))  # ten rows on one side
-    return pairs.join(objects.select("scene_id", "semantic_label").distinct(), ["scene_id", "semantic_label"], "left_anti")
+    all_classes = F.explode(F.array(*map(F.lit, V.CLASSES))).alias("semantic_label")
+    return objects.select("scene_id").distinct().select("scene_id", all_classes).join(objects.select("scene_id", "semantic_label").distinct(), ["scene_id", "semantic_label"], "left_anti")
 
 
 def absent_claimed(answers: DataFrame, objects: DataFrame) -> DataFrame:

@@ -414,7 +414,7 @@ def _vote(metric: str) -> str:
 
 @query(f"""WITH {Q.L1}, e AS (SELECT scene_id, source AS obj_name FROM l1 UNION ALL SELECT scene_id, target FROM l1), g AS (SELECT scene_id, obj_name, count(*) AS degree FROM e GROUP BY ALL),
     m AS (SELECT o.*, {Q.VOLUME} AS volume, g.degree FROM objects o LEFT JOIN g USING (scene_id, obj_name)), v AS ({_vote('point_count')} UNION ALL {_vote('volume')} UNION ALL {_vote('degree')}),
-    t AS (SELECT scene_id, obj_name, sum(v) AS votes FROM v WHERE v >= 1 GROUP BY ALL) SELECT scene_id, obj_name, votes FROM t WHERE votes >= 4 QUALIFY votes = max(votes) OVER (PARTITION BY scene_id)""")
+    t AS (SELECT scene_id, obj_name, sum(v)::BIGINT AS votes FROM v WHERE v >= 1 GROUP BY ALL) SELECT scene_id, obj_name, votes FROM t WHERE votes >= 4 QUALIFY votes = max(votes) OVER (PARTITION BY scene_id)""")
 def d21_p2_dominant_by_votes(s, d):
     o = objects(s, d)
     return S.dominant(o, R.relationships(o))
@@ -431,7 +431,7 @@ def d23_annotation_summary(s, d):
     return matched(s, d).groupBy("scene_id").agg(F.count("obj_name").alias("matched_rows"), F.count_distinct("obj_name").alias("annotated_objects"), (F.count("*") - F.count("obj_name")).alias("unmatched_rows"))
 
 
-@query("SELECT scene_id, semantic_label, count(*) AS n, string_agg(obj_name, ', ' ORDER BY obj_ord) AS names, sum(point_count) AS n_points FROM objects GROUP BY ALL")
+@query("SELECT scene_id, semantic_label, count(*) AS n, string_agg(obj_name, ', ' ORDER BY obj_ord) AS names, sum(point_count)::BIGINT AS n_points FROM objects GROUP BY ALL")
 def d24_t3_object_inventory(s, d):
     names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("obj_ord", "obj_name"))), lambda x: x["obj_name"]), ", ")
     return objects(s, d).groupBy("scene_id", "semantic_label").agg(F.count("*").alias("n"), names.alias("names"), F.sum("point_count").alias("n_points"))

@@ -1,8 +1,8 @@
 """Records grouped into clusters of mutually similar records: here points that form separate bodies.
 
 Within spatial tiles (with a border of neighbours) each task builds an approximate nearest-neighbour graph by neighbour
-descent and finds communities by modularity. Communities are no bodies yet: modularity cuts long bodies and the graph is
-approximate. So an exact check follows: pairs of points within the radius whose communities differ, found on a grid,
+descent and finds communities by modularity, both run until they settle. Communities are no bodies yet: modularity cuts
+long bodies and the graph is approximate. So an exact check follows: pairs of points within the radius whose communities differ, found on a grid,
 join their communities. Across tiles, communities that share a border point are joined by distributed label propagation.
 """
 
@@ -26,85 +26,201 @@ TILE = 16.0
 HOT_TILE, SPLIT = 400_000, 8
 #: Hot tiles up to which their list is broadcast; beyond that it is joined by shuffle.
 MAX_BROADCAST_TILES = 100_000
-NEIGHBOURS, DESCENTS, MOVES = 4, 1, 3
+NEIGHBOURS = 6
 #: Points whose candidates are measured at a time.
-CHUNK = 50_000
-def neighbour_graph(cells: Cells, group: np.ndarray, xyz: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+CHUNK = 20_000
+#: Halvings of the share of wanted moves that is tried before a group counts as settled.
+MOST_HALVINGS = 30
+#: Nodes of whole groups whose communities are found at a time; more if one group has more.
+BLOCK = 10_000
+
+
+def _curve(group: np.ndarray, xyz: np.ndarray, side: float, shift: float) -> np.ndarray:
+    """Points in the order of group and, inside it, of a Z-order curve over cells of the side, moved by shift cells."""
+    cell = (np.floor(xyz / side + shift).astype(np.int64) & 0x1FFFFF).astype(np.uint64)
+    code = np.zeros(len(xyz), np.uint64)
+    for axis in range(3):
+        c = cell[:, axis]
+        for step, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
+            c = (c | (c << np.uint64(step))) & np.uint64(mask)
+        code |= c << np.uint64(axis)
+    return np.lexsort((code, group))
+
+
+def neighbour_graph(_: Cells, group: np.ndarray, xyz: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
     """(neighbour, squared distance), each (points, NEIGHBOURS): near neighbours by descent, inf where there is none.
 
-    It starts from the points next to each other in the order of group and cell; each descent asks the neighbours'
-    neighbours, reverse ones included, and keeps the nearest.
+    It starts from the points next to each other on two Z-order curves, shifted so that their seams differ. Each descent
+    asks the neighbours' neighbours and a reverse neighbour of every point beside a change and keeps the nearest; it ends
+    when no list changes.
     """
     n, k = len(xyz), NEIGHBOURS
+    order = _curve(group, xyz, radius / 16, 0.0)
+    first = np.r_[True, group[order][1:] != group[order][:-1]]
+    part = (np.cumsum(first) - 1).astype(np.int32)
+    local = xyz[order] - xyz[order][np.flatnonzero(first)][part]
+    axes = [np.ascontiguousarray(local[:, a], np.float32) for a in range(3)]
+    other = _curve(part, xyz[order], radius / 16, 6515.52)
     place = np.empty(n, np.int64)
-    place[cells.order] = np.arange(n)
-    steps = np.array([s for s in range(-(k // 2), k // 2 + 1) if s])
-    near = cells.order[np.clip(place[:, None] + steps, 0, n - 1)]
-
-    def measured(candidates: np.ndarray, part: slice) -> np.ndarray:
-        own = np.arange(n)[part, None]
-        d = np.zeros(candidates.shape, np.float32)
-        for axis in range(3):
-            d += (xyz[:, axis][candidates] - xyz[part, axis][:, None]).astype(np.float32) ** 2
-        d[(group[candidates] != group[part, None]) | (candidates == own)] = np.inf
-        return d
-
-    dist = measured(near, slice(None))
-    for _ in range(DESCENTS):
-        reverse = np.repeat(np.arange(n)[:, None], k, axis=1)
-        reverse[near.ravel(), np.tile(np.arange(k), n)] = np.repeat(np.arange(n), k)
-        friends = np.concatenate([near[:, : k // 2], reverse[:, : k // 2]], axis=1)
-        found, dist = np.empty_like(near), np.empty((n, k), np.float32)
-        for at in range(0, n, CHUNK):  # bounded memory, whatever the size of the task
-            part = slice(at, at + CHUNK)
-            asked = np.concatenate([near[part], reverse[part], friends[near[part]].reshape(len(near[part]), -1)], axis=1)
-            asked.sort(axis=1)  # repeats come together and are struck out
-            far = measured(asked, part)
-            far[:, 1:][asked[:, 1:] == asked[:, :-1]] = np.inf
-            best = np.argpartition(far, k - 1, axis=1)[:, :k]
-            found[part], dist[part] = np.take_along_axis(asked, best, 1), np.take_along_axis(far, best, 1)
-        near = found
+    place[other] = np.arange(n)
+
+    def closest(rows: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        asked.sort(axis=1)  # repeats come together and are struck out
+        d = np.zeros(asked.shape, np.float32)
+        for axis in axes:
+            d += (axis[asked] - axis[rows, None]) ** 2
+        d[(part[asked] != part[rows, None]) | (asked == rows[:, None])] = np.inf
+        d[:, 1:][asked[:, 1:] == asked[:, :-1]] = np.inf
+        best = np.argpartition(d, k - 1, axis=1)[:, :k]
+        asked, d = np.take_along_axis(asked, best, 1), np.take_along_axis(d, best, 1)
+        rank = np.argsort(d, axis=1)
+        return np.take_along_axis(asked, rank, 1), np.take_along_axis(d, rank, 1)
+
+    near, dist = np.empty((n, k), np.int32), np.empty((n, k), np.float32)
+    steps = np.array([s for s in range(-k, k + 1) if s])
+    for at in range(0, n, CHUNK):  # bounded memory, whatever the size of the task
+        rows = np.arange(at, min(n, at + CHUNK))
+        asked = np.concatenate([np.clip(rows[:, None] + steps, 0, n - 1), other[np.clip(place[rows, None] + steps, 0, n - 1)]], axis=1)
+        near[rows], dist[rows] = closest(rows, asked.astype(np.int32))
+    active = np.arange(n)
+    while len(active):
+        own = np.arange(n, dtype=np.int32)
+        reverse = np.repeat(own[:, None], k, axis=1)
+        reverse[near.ravel(), np.tile(np.arange(k), n)] = np.repeat(own, k)
+        changed = np.zeros(n, bool)
+        for at in range(0, len(active), CHUNK):
+            rows = active[at : at + CHUNK]
+            asked = np.concatenate([near[rows], reverse[rows], near[near[rows]].reshape(len(rows), -1)], axis=1)
+            found, far = closest(rows, asked)
+            better = (far < dist[rows]).any(axis=1)
+            rows = rows[better]
+            near[rows], dist[rows], changed[rows] = found[better], far[better], True
+        beside = changed | changed[near].any(axis=1) | changed[reverse].any(axis=1)
+        beside[near[changed].ravel()] = True
+        active = np.flatnonzero(beside) if changed.any() else active[:0]
     dist[dist > radius * radius] = np.inf
-    return near, dist
+    back = np.empty(n, np.int64)
+    back[order] = np.arange(n)
+    return order[near[back]], dist[back]
 
 
-def communities(n: int, group: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Modularity-based communities: every node moves to the neighbouring community of highest gain, whole rounds at a
-    time; a move only towards a lower label in even rounds and a higher one in odd ones, so that pairs do not swap."""
-    label = np.arange(n)
+def _settled(n: int, group: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, degree: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Community of each node once no node wants to move alone.
+
+    Nodes move whole rounds at a time, towards a lower label in even rounds and a higher one in odd ones, so that pairs do
+    not swap. A group whose modularity a round does not raise takes it back and tries half as many of its moves, its best
+    one always among them; so modularity only rises and the rounds end.
+    """
+    label, idle, halvings = np.arange(n), np.zeros(n, np.int8), np.zeros(len(weight), np.int64)
+    inverse = 1 / np.maximum(weight, 1e-12)
+
+    def quality(label: np.ndarray) -> np.ndarray:
+        same = label[u] == label[v]
+        total = np.bincount(label, degree, n)  # a label is the index of a node of its own group
+        return np.bincount(group[u[same]], 2 * w[same], len(weight)) - np.bincount(group, total * total, len(weight)) * inverse
+
     s, t, w2 = np.r_[u, v], np.r_[v, u], np.r_[w, w]
-    degree = np.bincount(s, w2, n)
-    weight = np.bincount(group, degree)  # 2m of each group
-    for step in range(MOVES):
-        key = s * np.int64(n) + label[t]
+    has = quality(label)
+    step, dirty = 0, False
+    while True:
+        asked = idle[s] < 2
+        if not asked.any():
+            if not dirty:
+                return label
+            idle[(halvings <= MOST_HALVINGS)[group]], dirty = 0, False  # a last look at every node
+            continue
+        a, to, links = s[asked], label[t[asked]], w2[asked]
+        key = a * np.int64(n) + to
         order = np.argsort(key, kind="stable")
         key = key[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         node, target = key[first] // n, key[first] % n
-        links = np.add.reduceat(w2[order], first) if len(first) else np.zeros(0)
+        links = np.add.reduceat(links[order], first)
         total = np.bincount(label, degree, n)
         own = target == label[node]
-        gain = links - degree[node] * (total[target] - np.where(own, degree[node], 0)) / np.maximum(weight[group[node]], 1e-12)
-        stay = np.full(n, 0.0)
+        gain = links - degree[node] * (total[target] - np.where(own, degree[node], 0)) * inverse[group[node]]
+        stay = -degree * (total[label] - degree) * inverse[group]
         stay[node[own]] = gain[own]
-        better = (gain > stay[node] + 1e-12) & ~own & ((target < label[node]) if step % 2 == 0 else (target > label[node]))
+        gain -= stay[node]
+        better = (gain > 1e-9) & ~own & ((target < label[node]) if step % 2 == 0 else (target > label[node]))
+        idle[idle < 2] += 1
         node, target, gain = node[better], target[better], gain[better]
-        best = np.lexsort((target, -gain, node))
-        node, target = node[best], target[best]
-        top = np.r_[True, node[1:] != node[:-1]] if len(node) else np.zeros(0, bool)
-        label = label.copy()
-        label[node[top]] = target[top]
+        if len(node):
+            best = np.lexsort((target, -gain, node))
+            best = best[np.r_[True, node[best][1:] != node[best][:-1]]]
+            node, target, gain = node[best], target[best], gain[best]
+            idle[node] = 0
+            of = group[node]
+            draw = (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(step * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(32)
+            tried = draw % (np.uint64(1) << halvings[of].astype(np.uint64)) == 0
+            rank = np.lexsort((node, -gain, of))
+            tried[rank[np.r_[True, of[rank][1:] != of[rank][:-1]]]] = True
+            trial = label.copy()
+            trial[node[tried]] = target[tried]
+            now = quality(trial)
+            rises = now > has
+            busy = np.zeros(len(weight), bool)
+            busy[of] = True
+            halvings = np.where(busy, np.where(rises, np.maximum(halvings - 1, 0), halvings + 1), halvings)
+            label, has = np.where(rises[group], trial, label), np.where(rises, now, has)
+            moved = np.zeros(n, bool)
+            moved[node[tried & rises[of]]] = True
+            idle[t[moved[s]]] = 0
+            dirty |= moved.any()
+            idle[(halvings > MOST_HALVINGS)[group]] = 2
+        step += 1
+
+
+def communities(n: int, group: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Modularity-based communities: nodes move to the neighbouring community of highest gain until they settle, then the
+    communities move as nodes of a smaller graph, until none of them moves. Whole groups are taken in blocks of nodes."""
+    label, order, links = np.empty(n, np.int64), np.argsort(group, kind="stable"), np.argsort(group[u], kind="stable")
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    u, v, w = place[u[links]], place[v[links]], w[links]  # in the order of groups
+    sorted_group = group[order]
+    of = sorted_group[u]
+    ends = np.r_[np.flatnonzero(sorted_group[1:] != sorted_group[:-1]) + 1, n]
+    at = 0
+    while at < n:
+        to = ends[min(np.searchsorted(ends, at + BLOCK), len(ends) - 1)]
+        e = slice(*np.searchsorted(of, [sorted_group[at], sorted_group[to - 1] + 1]))
+        inner = np.cumsum(np.r_[True, sorted_group[at + 1 : to] != sorted_group[at : to - 1]]) - 1
+        label[order[at:to]] = at + _block(inner, u[e] - at, v[e] - at, w[e])
+        at = to
+    return label
+
+
+def _block(group: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """communities of one block of groups."""
+    label = np.arange(len(group))
+    degree = np.bincount(np.r_[u, v], np.r_[w, w], len(group))
+    weight = np.bincount(group, degree)  # 2m of each group
+    while len(u):
+        moved = _settled(len(degree), group, u, v, w, degree, weight)
+        names, small = np.unique(moved, return_inverse=True)
+        label = small[label]
+        if len(names) == len(degree):
+            break
+        degree, group = np.bincount(small, degree), group[names]
+        a, b = np.minimum(small[u], small[v]), np.maximum(small[u], small[v])
+        pair, which = np.unique((a * np.int64(len(names)) + b)[a != b], return_inverse=True)
+        u, v, w = pair // len(names), pair % len(names), np.bincount(which, w[a != b], len(pair))
     return label
 
 
 def bodies(group: np.ndarray, xyz: np.ndarray, radius: float = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """(body, internal weighted degree) of each point; body is the index of one of its points, exact for the radius."""
+    """(body, weighted degree) of each point; body is the index of one of its points, exact for the radius.
+
+    The degree is the summed weight of a point's links to its nearest neighbours. All of them are in its body and within
+    the radius, so it does not depend on what else the task holds."""
     n = len(xyz)
     if not n:
         return np.zeros(0, int), np.zeros(0)
     cells = Cells(group, xyz, radius * (1 + 1e-9))
     near, dist = neighbour_graph(cells, group, xyz, radius)
     keep = np.isfinite(dist)
+    degree = np.where(keep, 1 - np.sqrt(np.where(keep, dist, 0)) / radius + 1e-3, 0).sum(axis=1)
     u = np.repeat(np.arange(n), NEIGHBOURS)[keep.ravel()]
     v, w = near[keep], 1 - np.sqrt(dist[keep]) / radius + 1e-3
     exact = distance2(xyz, u, v) <= radius * radius
@@ -115,7 +231,6 @@ def bodies(group: np.ndarray, xyz: np.ndarray, radius: float = RADIUS) -> tuple[
     found = communities(n, group, u, v, w)
     same = found[u] == found[v]
     label = components(n, u[same], v[same])  # the connected parts of each community
-    degree = np.bincount(u[same], w[same], n) + np.bincount(v[same], w[same], n)
     label = components(n, u[~same], v[~same], label)  # communities that a true link of the graph joins
     return _closed(cells, group, xyz, radius, label), degree
 
@@ -208,7 +323,7 @@ def _solve(radius: float):
 
 
 def describe_bodies(members: DataFrame, typical: int = 3) -> DataFrame:
-    """head, n_points, typical_points: each body's size and its points of highest internal weighted degree (ties: lowest id)."""
+    """head, n_points, typical_points: each body's size and its points of highest weighted degree (ties: lowest id)."""
     best = members.groupBy("head", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(F.struct((-F.round("degree", 3)).alias("d"), "id"))), 1, typical).alias("top"))
     return best.groupBy("head").agg(F.sum("n").alias("n_points"), F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, typical).alias("top")).select("head", "n_points", F.array_join(F.expr("transform(top, x -> cast(x.id as string))"), ",").alias("typical_points"))
 
@@ -217,7 +332,8 @@ def find_bodies(points: DataFrame, radius: float = RADIUS, least_points: int = L
     """head, id, degree: every point of a body of at least least_points points, the head being the body's smallest id.
 
     points: grp, code, id (unique), x, y, z. Two points are of one body if points of the same grp and code link them in
-    steps of at most radius. degree: the point's weighted degree inside its community (of the graph in its own tile).
+    steps of at most radius. degree: the summed weight of
+    the point's links to its NEIGHBOURS nearest points of the body, whatever the tiles.
     Defined cases: rows with a null code or group, or a missing coordinate, are in no body; points at one place are
     linked; an empty table gives no row; further columns are ignored.
     """

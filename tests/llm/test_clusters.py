@@ -78,3 +78,41 @@ def test_missing_values_and_empty(spark):
     d = C.describe_bodies(got).first()
     assert d["n_points"] == 20 and len(d["typical_points"].split(",")) == 3
     assert C.find_bodies(df.limit(0)).count() == 0
+
+
+def test_descent_settles_near_all_true_neighbours():
+    xyz = np.concatenate([cloud(4)[["x", "y", "z"]].to_numpy(), np.random.default_rng(4).uniform(0, 3, (2000, 3))])
+    group = np.arange(len(xyz)) % 2
+    _, dist = C.neighbour_graph(C.Cells(group, xyz, 0.5), group, xyz, 0.5)
+    d = ((xyz[:, None] - xyz[None]) ** 2).sum(2)
+    d[(group[:, None] != group[None]) | np.eye(len(xyz), dtype=bool) | (d > 0.25)] = np.inf
+    true = np.sort(d, axis=1)[:, : C.NEIGHBOURS]
+    found = np.isfinite(true) & (np.sort(dist, axis=1) <= true * (1 + 1e-4) + 1e-6)
+    assert found.sum() > 0.9 * np.isfinite(true).sum()
+
+
+def test_communities_settle():
+    """No node gains modularity by moving alone; a ring of cliques comes apart at its links."""
+    cliques = [(8 * c + i, 8 * c + j) for c in range(30) for i in range(8) for j in range(i)] + [(8 * c, (8 * c + 9) % 240) for c in range(30)]
+    rng = np.random.default_rng(5)
+    noise = np.unique(np.sort(rng.integers(240, 640, (1600, 2)), axis=1), axis=0)
+    u, v = np.concatenate([cliques, noise[noise[:, 0] != noise[:, 1]]]).T
+    w, group = rng.uniform(0.5, 1, len(u)), (np.arange(640) >= 240).astype(int)
+    degree = np.bincount(np.r_[u, v], np.r_[w, w], 640)
+    label = C._settled(640, group, u, v, w, degree, np.bincount(group, degree))
+    total, weight = np.bincount(label, degree, 640), np.bincount(group, degree)
+    links = np.zeros((640, 640))
+    np.add.at(links, (np.r_[u, v], label[np.r_[v, u]]), np.r_[w, w])
+    gain = links - degree[:, None] * (total[None] - (label[:, None] == np.arange(640)) * degree[:, None]) / weight[group][:, None]
+    wins = (gain - gain[np.arange(640), label][:, None] > 1e-6) & (links > 0)
+    assert not wins.any()
+    found = C.communities(640, group, u, v, w)[:240].reshape(30, 8)
+    assert (found == found[:, :1]).all()
+
+
+def test_degree_does_not_depend_on_tiles(spark, monkeypatch):
+    df = spark.createDataFrame(cloud(6))
+    wide = {r["id"]: r["degree"] for r in C.find_bodies(df).collect()}
+    monkeypatch.setattr(C, "TILE", 3.0)
+    small = {r["id"]: r["degree"] for r in C.find_bodies(df).collect()}
+    assert wide.keys() == small.keys() and np.mean([abs(wide[i] - small[i]) < 2e-3 for i in wide]) > 0.99

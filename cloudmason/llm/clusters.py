@@ -28,7 +28,7 @@ HOT_TILE, SPLIT = 400_000, 8
 MAX_BROADCAST_TILES = 100_000
 NEIGHBOURS = 6
 #: Points whose candidates are measured at a time.
-CHUNK = 20_000
+CHUNK = 4_000
 #: Halvings of the share of wanted moves that is tried before a group counts as settled.
 MOST_HALVINGS = 30
 #: Nodes of whole groups whose communities are found at a time; more if one group has more.
@@ -64,24 +64,27 @@ def neighbour_graph(_: Cells, group: np.ndarray, xyz: np.ndarray, radius: float)
     place = np.empty(n, np.int64)
     place[other] = np.arange(n)
 
-    def closest(rows: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def closest(rows: np.ndarray, asked: np.ndarray, mixed: bool = False) -> tuple[np.ndarray, np.ndarray]:
         asked.sort(axis=1)  # repeats come together and are struck out
         d = np.zeros(asked.shape, np.float32)
         for axis in axes:
             d += (axis[asked] - axis[rows, None]) ** 2
-        d[(part[asked] != part[rows, None]) | (asked == rows[:, None])] = np.inf
+        if mixed:
+            d[part[asked] != part[rows, None]] = np.inf
+        d[asked == rows[:, None]] = np.inf
         d[:, 1:][asked[:, 1:] == asked[:, :-1]] = np.inf
         best = np.argpartition(d, k - 1, axis=1)[:, :k]
         asked, d = np.take_along_axis(asked, best, 1), np.take_along_axis(d, best, 1)
         rank = np.argsort(d, axis=1)
-        return np.take_along_axis(asked, rank, 1), np.take_along_axis(d, rank, 1)
+        asked, d = np.take_along_axis(asked, rank, 1), np.take_along_axis(d, rank, 1)
+        return np.where(np.isinf(d), rows[:, None].astype(asked.dtype), asked), d  # no neighbour: the point itself, so that groups never mix
 
     near, dist = np.empty((n, k), np.int32), np.empty((n, k), np.float32)
     steps = np.array([s for s in range(-k, k + 1) if s])
     for at in range(0, n, CHUNK):  # bounded memory, whatever the size of the task
         rows = np.arange(at, min(n, at + CHUNK))
         asked = np.concatenate([np.clip(rows[:, None] + steps, 0, n - 1), other[np.clip(place[rows, None] + steps, 0, n - 1)]], axis=1)
-        near[rows], dist[rows] = closest(rows, asked.astype(np.int32))
+        near[rows], dist[rows] = closest(rows, asked.astype(np.int32), mixed=True)
     active = np.arange(n)
     while len(active):
         own = np.arange(n, dtype=np.int32)
@@ -104,14 +107,54 @@ def neighbour_graph(_: Cells, group: np.ndarray, xyz: np.ndarray, radius: float)
     return order[near[back]], dist[back]
 
 
-def _settled(n: int, group: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, degree: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Community of each node once no node wants to move alone.
+def _merged(n: int, group: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, degree: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Communities, named by their first node, to start the moves from: communities that are each other's best partner
+    merge, in rounds, until no merger of two raises the modularity."""
+    label, inverse = np.arange(n), 1 / np.maximum(weight, 1e-12)
+    degree = degree.copy()
+    while len(u):
+        gain = w - degree[u] * degree[v] * inverse[group[u]]
+        good = gain > 1e-9
+        u, v, w, gain = u[good], v[good], w[good], gain[good]  # a loss only grows with the degrees
+        node, partner = np.r_[u, v], np.r_[v, u]
+        best = np.full(n, -np.inf)
+        np.maximum.at(best, node, np.r_[gain, gain])
+        choice = np.full(n, -1)
+        first = np.r_[gain, gain] == best[node]
+        np.maximum.at(choice, node[first], partner[first])
+        asked = np.flatnonzero(choice >= 0)
+        low = asked[(choice[choice[asked]] == asked) & (asked < choice[asked])]
+        if not len(low):
+            # ties in a ring of choices: the best pair of each group merges alone
+            order = np.lexsort((v, u, -gain, group[u]))
+            of = group[u][order]
+            lead = order[np.r_[True, of[1:] != of[:-1]]] if len(order) else order
+            low, high = np.minimum(u[lead], v[lead]), np.maximum(u[lead], v[lead])
+        else:
+            high = choice[low]
+        if not len(low):
+            break
+        to = np.arange(n)
+        to[high] = low
+        label = to[label]
+        degree[low] += degree[high]
+        u, v = to[u], to[v]
+        keep = u != v
+        a, b, w = np.minimum(u, v)[keep], np.maximum(u, v)[keep], w[keep]
+        pair, which = np.unique(a * np.int64(n) + b, return_inverse=True)
+        u, v, w = pair // n, pair % n, np.bincount(which, w, len(pair))
+    return label
+
+
+def _settled(n: int, group: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, degree: np.ndarray, weight: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+    """Community of each node once no node wants to move alone, beginning with the communities of label.
 
     Nodes move whole rounds at a time, towards a lower label in even rounds and a higher one in odd ones, so that pairs do
     not swap. A group whose modularity a round does not raise takes it back and tries half as many of its moves, its best
     one always among them; so modularity only rises and the rounds end.
     """
-    label, idle, halvings = np.arange(n), np.zeros(n, np.int8), np.zeros(len(weight), np.int64)
+    label = np.arange(n) if label is None else label
+    idle, halvings = np.zeros(n, np.int8), np.zeros(len(weight), np.int64)
     inverse = 1 / np.maximum(weight, 1e-12)
 
     def quality(label: np.ndarray) -> np.ndarray:
@@ -196,8 +239,10 @@ def _block(group: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np
     label = np.arange(len(group))
     degree = np.bincount(np.r_[u, v], np.r_[w, w], len(group))
     weight = np.bincount(group, degree)  # 2m of each group
+    start = _merged(len(degree), group, u, v, w, degree, weight)
     while len(u):
-        moved = _settled(len(degree), group, u, v, w, degree, weight)
+        moved = _settled(len(degree), group, u, v, w, degree, weight, start)
+        start = None
         names, small = np.unique(moved, return_inverse=True)
         label = small[label]
         if len(names) == len(degree):

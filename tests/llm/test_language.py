@@ -61,3 +61,26 @@ def test_table(spark, documents):
     assert G.find_languages(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         G.find_languages(extra.withColumn("lang", F.lit("xx")))
+
+
+def test_penalty_and_proportions_decide():
+    """One doubtful sentence makes no second language; where there are two, the proportions settle an undecided sentence."""
+    doubtful = np.full((8, 6), -100.0)
+    doubtful[:, 0] = -50.0
+    doubtful[3, 0], doubtful[3, 4] = -52.0, -52.0 + 0.75 * G.PENALTY
+    assert doubtful.argmax(1)[3] == 4 and G.languages_of(doubtful)[0] == [0]
+    mixed = np.full((10, 6), -100.0)
+    mixed[:8, 0], mixed[8:, 3] = -50.0, -50.0
+    mixed[7, 0], mixed[7, 3] = -50.2, -50.0
+    subset, share, resp = G.languages_of(mixed)
+    assert subset == [0, 3] and mixed[7].argmax() == 3 and resp[7].argmax() == 0 and share == pytest.approx([0.78, 0.22], abs=0.03)
+
+
+def test_stretches_agree_with_the_choice_for_each_document(labelled):
+    model = G.train(list(labelled["text"]), list(labelled["n"]))
+    rows = G.stretches(labelled.assign(lang=labelled["n"]), model)
+    for doc, own in rows.groupby("doc_id"):
+        text = labelled[labelled.doc_id == doc]["text"].iloc[0]
+        subset, _, resp = G.languages_of(model.score(G.Split([text])))
+        assert set(own["language"]) == {G.LANGUAGES[subset[k]] for k in resp.argmax(1)}
+        assert own["n_sentences"].sum() == len(resp)

@@ -43,6 +43,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def uncut(df: DataFrame) -> None:
+    """Delete the files of a result of cut() that nothing reads any more."""
+    rdd = df._jdf.queryExecution().logical().rdd()
+    if rdd.getCheckpointFile().isDefined():
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession, rows: int = 0, per_task: int = 400_000) -> int:
     """Shuffle partitions for tasks that hold their rows as arrays: the configured number, or more where rows ask for it."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))

@@ -2,11 +2,15 @@
 
 The reference entries form a BK-tree under the unrestricted Damerau-Levenshtein distance, a true metric, so that the
 triangle inequality prunes and every entry within the threshold is found. A list of bounded size is shipped with the
-tasks; a longer one is split into shards, every distinct value meets each shard's tree and the shard winners merge.
+tasks; a longer one is split into shards, every distinct value meets each shard's tree and the shards' readings merge. Both
+ways read codes, decoration, abbreviations and compounds alike and give the same result.
+
+The list may be widened by wordings learned from another column that names the same things (learned_entries).
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections import defaultdict
@@ -25,24 +29,6 @@ MAX_BROADCAST_ENTRIES = 50_000
 SHARD_ENTRIES = 20_000
 NONE = -1
 
-# Words for the ten classes beside the names in the class list, by class id.
-SYNONYMS = {
-    0: ["archway", "arches", "arch", "arcade", "arcade arch", "arcata", "arcate", "archi", "arcs", "arcade", "rundbogen", "bögen", "arcos", "archivolt", "arcada"],
-    1: ["columns", "pillar", "pillars", "pilaster", "column shaft", "shaft", "colonne", "colonnina", "colonnine", "pilastro", "pilastri", "pilier", "colonnette", "säulen", "pfeiler", "columnas", "pilar", "pilares", "colunas"],
-    2: ["molding", "moulding", "mouldings", "cornice", "cornices", "modanatura", "cornicione", "moulure", "corniche", "gesimse", "moldura", "cornisa", "cornija"],
-    3: ["floors", "flooring", "paving", "pavement", "pavimenti", "pavimentazione", "sol de la nef", "sols", "dallage", "boden", "suelos", "pisos"],
-    4: ["door", "doors", "window", "windows", "portal", "opening", "dr/wnd", "porta", "porte", "finestra", "finestre", "porte e finestre", "portale", "fenêtre", "fenêtres", "tür", "türen", "fenster", "puerta", "puertas", "ventana", "ventanas", "janela", "janelas"],
-    5: ["walls", "masonry wall", "partition wall", "partition", "muro", "muri", "pareti", "murs", "wände", "mauer", "muros", "paredes"],
-    6: ["stair", "staircase", "stairway", "st.case", "steps", "flight of steps", "scale", "scalinata", "gradini", "escaliers", "treppen", "escaleras", "escadas", "escadaria"],
-    7: ["vaults", "vaulting", "vlt", "groin vault", "dome", "volte", "cupola", "voûtes", "bóvedas", "abóbadas"],
-    8: ["roofs", "roofing", "covering", "copertura", "coperture", "tetti", "toit", "toits", "dächer", "tejados", "telhados", "cubierta", "cobertura"],
-    9: ["others", "misc", "miscellaneous", "altri", "altri elementi", "autres", "andere", "otros", "outros", "varie"],
-}
-# Frequent words in scan labels that belong to none of the classes.
-FOREIGN = ["scaffolding", "gerüst", "impalcatura", "andamio", "andaime", "échafaudage", "statue", "statua", "lamp", "lampada", "tree", "albero", "árbol", "árvore", "baum", "fountain", "fontana",
-           "fuente", "brunnen", "bench", "banc", "banco", "bank", "bell", "campana", "altar", "altare", "organ", "organo", "orgel", "painting", "dipinto", "gemälde", "cable", "cavo", "visitor",
-           "visitors", "visitatore", "parked van", "vehicle", "vehículo", "veicolo", "noise", "rumore", "target sphere", "tripod", "treppiede", "absperrung", "barrier", "see photo", "vedi foto", "image", "img", "photo",
-           "unknown", "tbd", "n.d.", "n/a", "none", "null", "xx", "tavolo", "table", "chair", "sedia"]
 # Words that say where or how large, not what.
 QUALIFIERS = {"north", "south", "east", "west", "nord", "sud", "est", "ovest", "sx", "dx", "left", "right", "links", "rechts", "small", "large", "piccolo", "grande", "alto", "basso", "upper", "lower", "sur", "norte", "este", "oeste", "ost", "süd", "klein", "groß", "petit", "grand"}
 
@@ -111,7 +97,7 @@ class BKTree:
 
 def threshold(word: str) -> int:
     """Edits allowed by length: the share of wrong letters stays about a quarter."""
-    return 0 if len(word) < 3 else 1 if len(word) <= 5 else 2 if len(word) <= 9 else 3
+    return 0 if len(word) < 3 else 1 if len(word) <= 6 else 2 if len(word) <= 9 else 3
 
 
 _LEET = [str.maketrans("0135", "oles"), str.maketrans("0135", "oies"), str.maketrans("0135", "oaes")]
@@ -146,76 +132,189 @@ def _clean(text: str) -> str:
             return text
 
 
+def _spaced(text: str) -> str:
+    return re.sub(r"[\s_/.-]+", " ", text).strip()
+
+
+def _skeleton(word: str) -> str:
+    """The first letter and the consonants after it."""
+    return word[:1] + re.sub("[aeiou]", "", word[1:])
+
+
+#: What a value can be read as, in the order in which readings count; a reading counts only if all its entries mean the same.
+KINDS = ["exact", "begins", "consonants", "closest", "words", "last_word", "compound", "stem"]
+
+
 class Canon:
-    """Decides what a typed value means: exact entry, code, abbreviation, then the closest entry of the BK-tree."""
+    """Entries of a list, or of one shard of it, and what typed values can be read as among them.
+
+    entries: (word, value); codes: numbers that stand for themselves; catch_all: values that take only near misses of one
+    edit, because whatever resembles nothing else would resemble them."""
 
-    def __init__(self, entries: Iterable[tuple[str, int]], codes: Iterable[int]):
-        self.tree, self.codes = BKTree(), set(codes)
+    def __init__(self, entries: Iterable[tuple[str, int]], codes: Iterable[int], catch_all: Iterable[int] = ()):
+        self.tree, self.codes, self.catch_all = BKTree(), set(codes), set(catch_all)
         for word, value in entries:
             self.tree.add(fold(word), value)
-            self.tree.add(re.sub(r"[\s_/.-]+", " ", fold(word)).strip(), value)
-        self.words = sorted(self.tree.payload)
-
-    def _value(self, words: list[str]) -> int:
-        """The value of equally close entries; real entries come before foreign ones, then the lowest id."""
-        values = sorted({v for w in words for v in self.tree.payload[w]}, key=lambda v: (v < 0, v))
-        return values[0]
-
-    def nearest(self, text: str) -> tuple[int, str, int] | None:
-        """(distance, entry, value) of the closest entry within the threshold."""
-        if text in self.tree.payload:
-            return 0, text, self._value([text])
+            self.tree.add(_spaced(fold(word)), value)
+        self.words = sorted(w for w in self.tree.payload if w)
+
+    def _best(self, words: Iterable[str]) -> list[tuple[int, str]]:
+        """(value, entry) of the entries: the lowest value and, if they mean several, another one."""
+        got = sorted({(v, w) for w in words for v in self.tree.payload[w]})
+        return got[:1] + [x for x in got if x[0] != got[0][0]][:1]
+
+    def nearest(self, text: str) -> tuple[int, list[tuple[int, str]]] | None:
+        """(distance, entries) of the closest entries within the threshold."""
         found = [(d, w) for d, w in self.tree.within(text, threshold(text)) if d <= threshold(max(text, w, key=len)) and d < min(len(text), len(w)) - 1]
+        found = [(d, w, v) for d, w in found for v in self.tree.payload[w] if d <= 1 or v not in self.catch_all]
         if not found:
             return None
-        best = [w for d, w in found if d == found[0][0]]
-        value = self._value(best)
-        return found[0][0], next(w for w in best if value in self.tree.payload[w]), value
-
-    def abbreviation(self, text: str) -> tuple[int, str, int] | None:
-        """A word cut short by a full stop: the real entries it begins, or whose consonants it begins, if all mean the same."""
-        m = re.fullmatch(r"([a-z]{2,})\.", text)
-        if not m:
-            return None
-        for begins in (lambda w: w.startswith(m[1]), lambda w: w[0] + re.sub("[aeiou]", "", w[1:])[: len(m[1]) - 1] == m[1]):
-            begun = [w for w in self.words if begins(w) and max(self.tree.payload[w]) != NONE]
-            values = {v for w in begun for v in self.tree.payload[w] if v != NONE}
-            if values:
-                return (0, begun[0], values.pop()) if len(values) == 1 else None
-        return None
-
-    def meaning(self, value: str) -> tuple[int, str | None, int]:
-        """(class or NONE, entry, distance)."""
+        return found[0][0], [(v, w) for v, w in sorted((v, w) for d, w, v in found if d == found[0][0])][:1]
+
+    def _short(self, text: str, begins: Callable[[str, str], bool]) -> list[str]:
+        """Entries that the text shortens: cut by a full stop, each word cut, or with its middle left out."""
+        if m := re.fullmatch(r"([a-z]{2,})\.", text):
+            return [w for w in self.words if begins(w, m[1])]
+        if m := re.fullmatch(r"([a-z]{2,})\.([a-z]{3,})", text):
+            return [w for w in self.words if w.startswith(m[1]) and w.endswith(m[2])]
+        parts = text.split("/")
+        if len(parts) > 1 and all(re.fullmatch("[a-z]{2,}", p) for p in parts):
+            return [w for w in self.words if len(x := w.split()) == len(parts) and all(begins(a, b) for a, b in zip(x, parts, strict=True))]
+        return []
+
+    def readings(self, value: str) -> dict[str, list]:
+        """By kind: [distance, (value, entry), ...] with one value, or two if the reading is ambiguous; "code": [code, alone, listed]."""
         typed = " ".join(value.replace("\xa0", " ").casefold().split())
         folded = fold(_clean(typed))
+        got: dict[str, list] = {}
         if m := _CODE.fullmatch(fold(typed).strip("[](){}\"' ?.")) or _CODE.fullmatch(folded):
-            return (int(m[1]), m[1], 0) if int(m[1]) in self.codes else (NONE, None, 0)
-        code = None
+            return {"code": [int(m[1]), True, int(m[1]) in self.codes]}
         if m := _CODED.fullmatch(fold(typed)) or _CODED.fullmatch(folded):
-            code, folded = int(m[1]), _clean(m[2])
-        forms = dict.fromkeys([folded, re.sub(r"[\s_/.-]+", " ", folded).strip()])
+            folded = _clean(m[2])
+            if not re.search("[a-z]{2}", folded):
+                got["code"] = [int(m[1]), False, int(m[1]) in self.codes]
+        forms = dict.fromkeys([folded, _spaced(folded)])
         for form in list(forms):
             if re.search("[0135]", form) and re.search("[a-z]", form):
                 forms |= dict.fromkeys(form.translate(t) for t in _LEET)
-        short = [x for form in forms if (x := self.abbreviation(form))]
-        found = sorted([x for form in forms if (x := self.nearest(form))], key=lambda x: (x[0], x[2] < 0, x[2]))
-        if found and (not found[0][0] or not short):
-            return found[0][2], found[0][1], found[0][0]
-        if short:
-            return short[0][2], short[0][1], 0
-        if code in self.codes and not re.search("[a-z]{2}", folded):
-            return code, str(code), 0
-        return NONE, None, 0
+
+        def note(kind: str, words: Iterable[str]) -> None:
+            if kind not in got and (best := self._best(words)):
+                got[kind] = [0, *best]
+
+        for form in forms:
+            note("exact", [form] if form in self.tree.payload and form else [])
+        if "exact" in got:
+            return got
+        closest = min((x for form in forms if form and (x := self.nearest(form))), default=None)
+        if closest:
+            got["closest"] = [closest[0], *closest[1]]
+        for form in forms:
+            note("begins", self._short(form, str.startswith))
+            note("consonants", self._short(form, lambda w, m: w[:1] == m[:1] and _skeleton(w).startswith(m)))
+            words = form.split()
+            if len(words) > 1:
+                note("words", [w for w in words if len(w) > 2 and w in self.tree.payload])
+                if len(words[-1]) > 3 and (x := self.nearest(words[-1])) and x[0] <= 1:
+                    note("last_word", [w for _, w in x[1]])
+            elif len(form) > 3 and form.isalpha():
+                note("compound", [w for w in self.words if len(w) > 4 and form.endswith(w)])
+                note("stem", [w for w in self.words if len(w) > len(form) and w.startswith(form) or len(w) > 4 and form.startswith(w) and len(form) - len(w) <= 3])
+        return got
+
+
+def merged(several: Iterable[dict[str, list]]) -> dict[str, list]:
+    """The readings of all shards as one list would give them."""
+    out: dict[str, list] = {}
+    for got in several:
+        for kind, new in got.items():
+            old = out.get(kind)
+            if old is None:
+                out[kind] = new
+            elif kind == "code":
+                out[kind] = [*old[:2], old[2] or new[2]]
+            elif kind == "closest":
+                out[kind] = min(old, new)
+            else:
+                best = sorted({tuple(x) for x in old[1:] + new[1:]})
+                out[kind] = [0, *best[:1], *[x for x in best if x[0] != best[0][0]][:1]]
+    if "exact" in out:
+        return {k: out[k] for k in ("exact", "code") if k in out}
+    return out
+
+
+def decided(got: dict[str, list]) -> tuple[int, str | None, int]:
+    """(value or NONE, entry, distance) from all readings."""
+    code = got.get("code")
+    if code and code[1]:
+        return (code[0], str(code[0]), 0) if code[2] else (NONE, None, 0)
+    for kind in KINDS:
+        if kind in got:
+            distance, first, *other = got[kind]
+            if kind == "exact" or not other:  # of equal entries the lowest value
+                return first[0], first[1], distance
+            if kind in ("begins", "words"):
+                break  # cut too short to say which, or several are named: no further guess
+    if code and code[2]:
+        return code[0], str(code[0]), 0
+    return NONE, None, 0
+
+
+def meaning(canon: Canon, value: str) -> tuple[int, str | None, int]:
+    return decided(canon.readings(value))
+
+
+def plurals(word: str, language: str) -> list[str]:
+    """Regular plurals of the languages that the list may be written in."""
+    ends = {
+        "it": [("co", "chi"), ("go", "ghi"), ("ca", "che"), ("ga", "ghe"), ("o", "i"), ("a", "e"), ("e", "i")],
+        "fr": [("eau", "eaux"), ("", "s")],
+        "de": [("e", "en")] if word.endswith("e") else [("", "e"), ("", "en")],
+        "es": [("z", "ces"), *((v, v + "s") for v in "aeiou"), ("", "es")],
+        "pt": [("m", "ns"), ("ao", "oes"), *((v, v + "s") for v in "aeiou"), ("", "es")],
+        "en": [("ch", "ches"), ("s", "ses"), ("", "s")],
+    }[language]
+    found = [word[: len(word) - len(a)] + b for a, b in ends if word.endswith(a)]
+    return found if language == "de" else found[:1]
 
 
 def class_entries(rows: Iterable[dict]) -> list[tuple[str, int]]:
-    """Entries from the class list: names in all its languages, the synonyms its gloss gives, and the fixed words above."""
-    entries: list[tuple[str, int]] = []
+    """Entries from the class list: names in all its languages, what the gloss adds, and their plurals. Where the gloss
+    names the parts of a compound name, the parts are entries in every language."""
+    entries: dict[tuple[str, int], None] = {}
     for row in rows:
-        names = [v for k, v in row.items() if (k == "semantic_label" or k.startswith("name_")) and v]
-        gloss = (row.get("gloss") or "").partition("also ")[2]
-        entries += [(w.strip(), row["class_id"]) for w in [*names, *gloss.split(","), *SYNONYMS.get(row["class_id"], [])] if w.strip()]
-    return entries + [(w, NONE) for w in FOREIGN]
+        gloss = [w.strip() for w in (row.get("gloss") or "").partition("also ")[2].split(",") if w.strip()]
+        names = [("en", w) for w in [row.get("semantic_label"), *gloss] if w] + [(k[5:], v) for k, v in row.items() if k.startswith("name_") and v]
+        parts = _spaced(row.get("semantic_label") or "").split()
+        if len(parts) > 1 and set(parts) <= set(gloss):
+            names += [(language, w) for language, name in names for w in _spaced(name).split() if len(_spaced(name).split()) == len(parts)]
+        for language, name in names:
+            for word in [name, *plurals(fold(name), language)]:
+                entries[word, row["class_id"]] = None
+    return list(entries)
+
+
+def list_entries(listed: DataFrame) -> DataFrame:
+    """word, entry_id: class_entries() of a table with class_id, semantic_label, gloss, name_it, ..."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [{k: v for k, v in r.items() if isinstance(v, str)} | {"class_id": r["class_id"]} for r in batch.to_dict("records")]
+            yield pd.DataFrame(class_entries(rows), columns=["word", "entry_id"]).astype({"word": object, "entry_id": "int64"})
+
+    return listed.mapInPandas(run, "word string, entry_id long")
+
+
+def learned_entries(pairs: DataFrame, wording: str, name: str, least: int = 3, pure: float = 0.9) -> DataFrame:
+    """word, name, n: wordings of one column that stand beside one name of another column, at least so often and in so
+    large a share of their rows. Both columns name the same thing; rows with a null or blank in either are not counted."""
+    both = pairs.select(F.lower(F.trim(wording)).alias("word"), F.col(name).alias("name")).filter((F.col("word") != "") & (F.trim("name") != ""))
+    counts = both.groupBy("word", "name").agg(F.count("*").alias("n"))
+    best = counts.groupBy("word").agg(F.sum("n").alias("total"), F.max_by(F.struct("name", "n"), F.struct("n", "name")).alias("top"))
+    return best.filter((F.col("top.n") >= least) & (F.col("top.n") >= pure * F.col("total"))).select("word", F.col("top.name").alias("name"), F.col("top.n").alias("n"))
+
+
+ADDED = [T.StructField("canon_id", T.LongType()), T.StructField("canon_entry", T.StringType()), T.StructField("canon_distance", T.IntegerType())]
 
 
 def map_values(values: DataFrame, column: str, canon: Canon) -> DataFrame:
@@ -227,40 +326,46 @@ def map_values(values: DataFrame, column: str, canon: Canon) -> DataFrame:
     values = values.drop("canon_id", "canon_entry", "canon_distance")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        meaning = lru_cache(maxsize=200_000)(canon.meaning)
+        of = lru_cache(maxsize=200_000)(lambda v: meaning(canon, v))
         for batch in batches:
-            got = [meaning(v) if isinstance(v, str) and v.strip() else (None, None, None) for v in batch[column]]
-            yield plain(batch.assign(canon_id=pd.array([g[0] for g in got], "Int32"), canon_entry=[g[1] for g in got], canon_distance=pd.array([g[2] for g in got], "Int32")))
+            got = [of(v) if isinstance(v, str) and v.strip() else (None, None, None) for v in batch[column]]
+            yield plain(batch.assign(canon_id=pd.array([g[0] for g in got], "Int64"), canon_entry=[g[1] for g in got], canon_distance=pd.array([g[2] for g in got], "Int32")))
 
-    added = [T.StructField("canon_id", T.IntegerType()), T.StructField("canon_entry", T.StringType()), T.StructField("canon_distance", T.IntegerType())]
-    return values.mapInPandas(run, T.StructType([*values.schema.fields, *added]))
+    return values.mapInPandas(run, T.StructType([*values.schema.fields, *ADDED]))
 
 
-def nearest_entries(values: DataFrame, column: str, entries: DataFrame, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
-    """Every distinct value of column with its closest entry from a list of any length: value, entry_id, entry, distance.
+def map_to_list(values: DataFrame, column: str, entries: DataFrame, codes: bool = False, catch_all: Iterable[int] = (), most_broadcast: int = MAX_BROADCAST_ENTRIES, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+    """As map_values(), for a list of any length given as a table.
 
-    entries: entry_id long, entry string. The list is cut into shards of about shard_entries; each value meets each
-    shard's BK-tree, and the closest of the shard winners stays (ties: lowest entry_id). Values that are null or blank
-    are left out; values without an entry within the threshold are reported with null entry_id, entry and distance.
+    entries: word string, entry_id long; further columns are ignored, rows with a null in either are left out. codes:
+    whether the ids themselves may be typed. Up to most_broadcast entries go to every task; a longer list is cut into
+    shards, every distinct value is read by each shard, and the readings merge to the same result.
     """
-    shards = max(1, -(-entries.count() // shard_entries))
-    texts = values.select(F.col(column).cast("string").alias("value")).filter(F.trim("value") != "").distinct()
-    asked = texts.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("part", F.pmod(F.xxhash64("value"), F.lit(64)).cast("int"))
-    listed = entries.select(F.col("entry_id").cast("long").alias("entry_id"), F.col("entry").cast("string").alias("entry")).dropna().withColumn("shard", F.pmod(F.xxhash64("entry"), F.lit(shards)).cast("int"))
-    listed = listed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    listed = entries.select(F.col("word").cast("string").alias("word"), F.col("entry_id").cast("long").alias("entry_id")).dropna()
+    catch_all = list(catch_all)
+
+    def canon(rows: list[tuple[str, int]]) -> Canon:
+        return Canon(rows, {i for _, i in rows} if codes else (), catch_all)
+
+    n = listed.count()
+    if n <= most_broadcast:
+        return map_values(values, column, canon([(r["word"], r["entry_id"]) for r in listed.collect()]))
+    shards, parts = -(-n // shard_entries), 64
+    values = values.drop("canon_id", "canon_entry", "canon_distance")
+    texts = values.select(F.col(column).cast("string").alias("value_")).filter(F.trim("value_") != "").distinct()
+    asked = texts.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("part", F.pmod(F.xxhash64("value_"), F.lit(parts)).cast("int"))
+    dealt = listed.withColumn("shard", F.pmod(F.xxhash64("word"), F.lit(shards)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        tree = BKTree()
-        for word, i in zip(right["entry"], right["entry_id"], strict=True):
-            tree.add(fold(word), (int(i), word))
-        rows = []
-        for value in left["value"]:
-            folded = fold(value)
-            best = min(((d, *pay) for d, w in tree.within(folded, threshold(folded)) for pay in tree.payload[w]), default=None)
-            rows.append((value, *((best[1], best[2], best[0]) if best else (None, None, None))))
-        out = pd.DataFrame(rows, columns=["value", "entry_id", "entry", "distance"])
-        return out.astype({"entry_id": "Int64", "distance": "Int32"})
-
-    won = asked.groupBy("shard", "part").cogroup(listed.groupBy("shard", "part")).applyInPandas(probe, "value string, entry_id long, entry string, distance int")
-    best = F.min(F.when(F.col("entry_id").isNotNull(), F.struct("distance", "entry_id", "entry"))).alias("best")
-    return won.groupBy("value").agg(best).select("value", "best.entry_id", "best.entry", "best.distance")
+        own = canon(list(zip(right["word"], right["entry_id"].astype(int), strict=True)))
+        return pd.DataFrame({"value_": left["value_"], "read": [json.dumps(own.readings(v)) for v in left["value_"]]}, columns=["value_", "read"]).astype(object)
+
+    read = asked.groupBy("shard", "part").cogroup(dealt.groupBy("shard", "part")).applyInPandas(probe, "value_ string, read string").groupBy("value_").agg(F.collect_list("read").alias("read"))  # one per shard
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            got = [decided(merged(map(json.loads, r))) for r in batch["read"]]
+            yield plain(pd.DataFrame({"value_": batch["value_"], "canon_id": pd.array([g[0] for g in got], "Int64"), "canon_entry": pd.Series([g[1] for g in got], dtype=object), "canon_distance": pd.array([g[2] for g in got], "Int32")}))
+
+    chosen = read.mapInPandas(choose, T.StructType([T.StructField("value_", T.StringType()), *ADDED]))
+    return values.join(chosen, F.col(column).cast("string") == chosen["value_"], "left").drop("value_")

@@ -10,7 +10,7 @@ groups of candidates are independent of each other and are dealt out over the cl
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudmason.functions.frames import plain
-from cloudmason.llm.canonical import NONE, Canon, map_values
+from cloudmason.llm.canonical import NONE
 from cloudmason.operators.components import join_labels
 from cloudmason.operators.point_grid import components
 from cloudmason.session import cut, partitions, uncut
@@ -57,11 +57,14 @@ def wording(text: Column) -> Column:
     return F.when(plain != "", plain)
 
 
-def prepared(rows: DataFrame, label: str, canon: Canon) -> DataFrame:
-    """id, grp, k (class, null if unknown), x, y, z, mat, typ, fns of rows with id, grp, label, x, y, z, material, typology, function."""
+def prepared(rows: DataFrame, label: str, meaning: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """id, grp, k (class, null if unknown), x, y, z, mat, typ, fns of rows with id, grp, label, x, y, z, material, typology, function.
+
+    meaning: adds canon_id to distinct labels, as canonical.map_to_list() does."""
     num = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None))
     d = rows.select("id", "grp", F.col(label).alias("label"), num("x").alias("x"), num("y").alias("y"), num("z").alias("z"), wording(F.col("material")).alias("mat"), wording(F.col("typology")).alias("typ"), F.coalesce(F.array_sort(F.array_distinct(F.expr("filter(transform(split(lower(function), '[;|,]'), s -> trim(s)), s -> s <> '')"))), F.expr("cast(array() as array<string>)")).alias("fns"))
-    meant = map_values(d.select("label").filter("label is not null").distinct(), "label", canon).select("label", F.when(F.col("canon_id") != NONE, F.col("canon_id")).alias("k"))
+    labels = d.select("label").filter("label is not null").distinct().repartition(partitions(rows.sparkSession), "label")
+    meant = meaning(labels, "label").select("label", F.when(F.col("canon_id") != NONE, F.col("canon_id").cast("int")).alias("k"))
     d = d.join(meant, "label", "left")
     unplaced = F.col("x").isNull() | F.col("y").isNull() | ((F.col("x") == 0) & (F.col("y") == 0))  # a centre of zeros stands for none
     return d.select("id", "grp", "k", *(F.when(~unplaced, F.col(c)).alias(c) for c in "xyz"), "mat", "typ", "fns")

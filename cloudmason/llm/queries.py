@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    canon, _ = _canon(spark, sf_dir)
+    meaning = _meaning(spark, sf_dir)
     a = table(spark, sf_dir, "annotations").select(F.col("annotation_id").alias("id"), F.col("scene_id").alias("grp"), F.col("semantic_label").alias("label"), *(F.col(f"global_box_center_{c}").alias(c) for c in "xyz"), F.col("material_description").alias("material"), "typology", "function")
     label = F.coalesce(F.expr("nullif(trim(class_semantic_label), '')"), "semantic_label")
     c = table(spark, sf_dir, "catalogue").select(F.col("record_id").alias("id"), F.col("scene_id").alias("grp"), label.alias("label"), "x", "y", "z", "material", "typology", "function")
-    return linkage.link(linkage.prepared(a, "label", canon), linkage.prepared(c, "label", canon))
+    return linkage.link(linkage.prepared(a, "label", meaning), linkage.prepared(c, "label", meaning))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,25 +61,35 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- p4
 
 
-def _canon(spark: SparkSession, sf_dir: str) -> tuple[canonical.Canon, list[str]]:
+def _meaning(spark: SparkSession, sf_dir: str) -> Callable[[DataFrame, str], DataFrame]:
+    """Maps a column to the class list: its names and glosses, and the wordings that catalogue records use beside a class name."""
     listed = table(spark, sf_dir, "class_list")
-    if listed.count() > canonical.MAX_BROADCAST_ENTRIES:
-        raise ValueError("a list this long is mapped with canonical.nearest_entries")
-    rows = [r.asDict() for r in listed.collect()]
-    return canonical.Canon(canonical.class_entries(rows), [r["class_id"] for r in rows]), [r["semantic_label"] for r in rows]
+    learned = canonical.learned_entries(table(spark, sf_dir, "catalogue"), "class_semantic_label", "semantic_label")
+    named = learned.join(listed.select(F.col("semantic_label").alias("name"), F.col("class_id").cast("long").alias("entry_id")), "name").select("word", "entry_id")
+    entries = cut(canonical.list_entries(listed).unionByName(named).distinct())
+    other = [r["class_id"] for r in listed.filter("semantic_label = 'other'").select("class_id").distinct().collect()]
+    return lambda values, column: canonical.map_to_list(values, column, entries, codes=True, catch_all=other)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    canon, names = _canon(spark, sf_dir)
-    typed = table(spark, sf_dir, "annotations").select("annotation_id", "semantic_label").filter(F.col("semantic_label").isNotNull() & ~F.col("semantic_label").isin(names))
-    return canonical.map_values(typed, "semantic_label", canon).filter(F.col("canon_id").isNotNull()).select("annotation_id", F.col("canon_id").alias("class_id"))
+    names = table(spark, sf_dir, "class_list").select("semantic_label")
+    typed = table(spark, sf_dir, "annotations").select("annotation_id", "semantic_label").filter(F.col("semantic_label").isNotNull()).join(names, "semantic_label", "left_anti")
+    return _meaning(spark, sf_dir)(typed, "semantic_label").filter(F.col("canon_id").isNotNull()).select("annotation_id", F.col("canon_id").cast("int").alias("class_id"))
 
 
 def p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each distinct value with the entry it means, its distance and how often it was typed."""
-    canon, _ = _canon(spark, sf_dir)
     counts = table(spark, sf_dir, "annotations").groupBy("semantic_label").agg(F.count("*").alias("n"))
-    return canonical.map_values(counts, "semantic_label", canon).select("semantic_label", "n", F.col("canon_id").alias("class_id"), F.col("canon_entry").alias("entry"), F.col("canon_distance").alias("distance"))
+    return _meaning(spark, sf_dir)(counts, "semantic_label").select("semantic_label", "n", F.col("canon_id").cast("int").alias("class_id"), F.col("canon_entry").alias("entry"), F.col("canon_distance").alias("distance"))
+
+
+def p4_catalogue_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue's distinct class wordings mapped to a list that is too long to ship, as far as the operator is told:
+    every shard of the list reads every value."""
+    listed = canonical.list_entries(table(spark, sf_dir, "class_list"))
+    counts = table(spark, sf_dir, "catalogue").groupBy("class_semantic_label").agg(F.count("*").alias("n"))
+    mapped = canonical.map_to_list(counts, "class_semantic_label", listed, codes=True, most_broadcast=0, shard_entries=50)
+    return mapped.select("class_semantic_label", "n", F.col("canon_id").cast("int").alias("class_id"), F.col("canon_entry").alias("entry"), F.col("canon_distance").alias("distance"))
 
 
 # ---- p6

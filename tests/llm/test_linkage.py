@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from cloudmason.llm import linkage as L
-from cloudmason.llm.canonical import Canon, class_entries
+from cloudmason.llm.canonical import Canon, class_entries, map_values
 
 CANON = Canon(class_entries([{"class_id": i, "semantic_label": n} for i, n in enumerate(["arch", "column", "moldings", "floor", "door_window", "wall", "stairs", "vault", "roof", "other"])]), range(10))
 SCHEMA = "id long, grp string, label string, x double, y double, z double, material string, typology string, function string"
@@ -12,7 +12,7 @@ KNOWN = MATERIALS + TYPOLOGIES
 
 
 def side(spark, rows):
-    return L.prepared(spark.createDataFrame(rows, SCHEMA), "label", CANON)
+    return L.prepared(spark.createDataFrame(rows, SCHEMA), "label", lambda v, c: map_values(v, c, CANON))
 
 
 def pairs(spark, a, b, known=KNOWN):

@@ -141,6 +141,14 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.container_fill(packed).groupBy(F.floor(F.col("fill") * 100).alias("fill_pct")).agg(F.count("*").alias("n_containers"), F.sum("used").alias("used_tokens"))
 
 
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the containers keep the sources' shares of all tokens, container by container and over the run."""
+    items = _counted(spark, sf_dir).select(F.col("doc_id").alias("item_id"), "source", F.col("tokens").alias("size"))
+    shares = packing.source_shares(items)
+    report = packing.mixture(packing.pack_items(items, targets=shares), shares)
+    return report.select("source", *(F.round(c, 6).alias(c) for c in ("target_share", "actual_share", "mean_off", "running_off")))
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     targets = [r.asDict() for r in table(spark, sf_dir, "source_target").collect()]  # one row per source
     return mixing.mix(_counted(spark, sf_dir), targets)

@@ -44,11 +44,11 @@ def test_pack(spark, part_tokens):
 def test_mixture_stays_near_the_shares():
     rng = random.Random(1)
     items = [(s, rng.randint(1, 60), i, 0) for i in range(6000) for s in [rng.choices("abc", [6, 3, 1])[0]]]
-    containers, left = P.pack(items, {}, 2048)
     share = Counter()
     for s, n, *_ in items:
         share[s] += n
     whole = sum(share.values())
+    containers, left = P.pack(items, {}, 2048, {s: n / whole for s, n in share.items()})
     for c in containers[:-2]:
         got = Counter()
         for s, n, *_ in c:
@@ -57,11 +57,35 @@ def test_mixture_stays_near_the_shares():
     assert all(abs(v) < 2 * 2048 for v in left.values())
 
 
+def test_given_targets_hold_until_a_source_runs_out(spark):
+    """Twice as much of b as its target asks for: containers keep the target while a lasts, then the rest of b follows."""
+    rng = random.Random(2)
+    items = [(i, "ab"[i % 2], rng.randint(1, 80)) for i in range(8000)]
+    packed = P.pack_items(spark.createDataFrame(items, ITEMS), 2048, 60_000, targets={"a": 2, "b": 1})
+    of = defaultdict(Counter)
+    for r in packed.collect():
+        of[r["container_id"]][r["source"]] += r["size"]
+    kept = [c["a"] / sum(c.values()) for c in of.values() if c["a"]]
+    assert abs(sorted(kept)[len(kept) // 2] - 2 / 3) < 0.03
+    report = {r["source"]: r for r in P.mixture(packed, {"a": 2 / 3, "b": 1 / 3}, 2048).collect()}
+    assert abs(report["a"]["actual_share"] - 0.5) < 0.02 and report["b"]["running_off"] > 1 > report["a"]["running_off"]
+
+
+def test_mixture_of_real_documents(spark):
+    """Documents of the test table: each source's running total stays within a few containers of its share."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id item_id", "source", "cast(length(text) / 4 as int) size")
+    shares = P.source_shares(docs)
+    packed = P.pack_items(docs, targets=shares)
+    report = P.mixture(packed, shares).collect()
+    assert sum(r["target_share"] for r in report) == pytest.approx(1) and all(r["actual_share"] == pytest.approx(r["target_share"], abs=1e-3) for r in report)
+    assert max(r["running_off"] for r in report) < 8 and P.container_fill(packed).selectExpr("avg(fill)").first()[0] > 0.98
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(1, 50)), max_size=60))
 def test_every_item_is_packed_once(items):
     rows = [(s, n, i, 0) for i, (s, n) in enumerate(items)]
-    containers, _ = P.pack(rows, {}, 50)
+    containers, _ = P.pack(rows, {}, 50, {"a": 0.5})
     assert sorted(x for c in containers for x in c) == sorted(rows) and all(sum(x[1] for x in c) <= 50 for c in containers)
 
 

@@ -63,7 +63,7 @@ def prepared(rows: DataFrame, label: str, meaning: Callable[[DataFrame, str], Da
     meaning: adds canon_id to distinct labels, as canonical.map_to_list() does."""
     num = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None))
     d = rows.select("id", "grp", F.col(label).alias("label"), num("x").alias("x"), num("y").alias("y"), num("z").alias("z"), wording(F.col("material")).alias("mat"), wording(F.col("typology")).alias("typ"), F.coalesce(F.array_sort(F.array_distinct(F.expr("filter(transform(split(lower(function), '[;|,]'), s -> trim(s)), s -> s <> '')"))), F.expr("cast(array() as array<string>)")).alias("fns"))
-    labels = d.select("label").filter("label is not null").distinct().repartition(partitions(rows.sparkSession), "label")
+    labels = d.select("label").filter("label is not null").distinct().repartition(partitions(rows.sparkSession))  # few bytes, much work
     meant = meaning(labels, "label").select("label", F.when(F.col("canon_id") != NONE, F.col("canon_id").cast("int")).alias("k"))
     d = d.join(meant, "label", "left")
     unplaced = F.col("x").isNull() | F.col("y").isNull() | ((F.col("x") == 0) & (F.col("y") == 0))  # a centre of zeros stands for none

@@ -225,9 +225,36 @@ def material_words(material: str) -> list[str]:
 
 # Phrases of scripted answers and their English form, replaced one after the other.
 PHRASES = [
-    ("Osservato dai dati:", "Observed data:"), ("Relazioni usate:", "Relationships used:"), ("Inferenza:", "Inference:"), ("Confidenza:", "Confidence:"), ("Indizi presenti:", "Observed cues:"),
-    ("Limiti principali", "Main boundaries"), ("Ruoli:", "Roles:"), ("media", "medium"), ("alta", "high"), ("bassa", "low"), ("nessuno", "none"), ("nessuna", "none"),
-]
+    ("Osservato dai dati:", "Observed data:"),
+    ("Relazioni usate:", "Relationships used:"),
+    ("Inferenza:", "Inference:"),
+    ("Confidenza:", "Confidence:"),
+    ("Indizi presenti:", "Observed cues:"),
+    ("Relazioni considerate in cascata", "Relationships considered in cascade"),
+    ("La scena sembra coperta o semi-interna, ma i limiti laterali sono incompleti.", "The scene appears covered or semi-internal, but the lateral boundaries are incomplete."),
+    ("La scena è probabilmente interna o coperta.", "The scene is probably internal or covered."),
+    ("La distinzione interno/esterno resta ambigua dai soli oggetti disponibili.", "The internal/external distinction remains ambiguous from the available objects alone."),
+    ("Limiti principali", "Main boundaries"),
+    ("Colonne perimetrali candidate", "Candidate perimeter columns"),
+    ("Colonne interne / organizzatrici", "Internal / organizing columns"),
+    ("Elementi distributivi", "Circulation elements"),
+    ("Ruoli:", "Roles:"),
+    ("Potenzialmente portanti", "Potentially load-bearing"),
+    ("Superfici di appoggio", "Support surfaces"),
+    ("Non portanti o non determinati", "Non-load-bearing or undetermined"),
+    ("Etichetta tipologica sintetica", "Synthetic typological label"),
+    ("spazio coperto colonnato / portico o padiglione", "covered colonnaded space / portico or pavilion"),
+    ("sono presenti molte colonne, un piano di base e una copertura.", "many columns, a base plane, and a roof are present."),
+    ("media", "medium"),
+    ("alta", "high"),
+    ("bassa", "low"),
+    ("nessuno", "none"),
+    ("nessuna", "none"),
+    ("floor come piano inferiore", "floor as lower plane"),
+    ("roof/vault come copertura superiore", "roof/vault as upper cover"),
+    ("wall come possibile limite laterale", "wall as possible lateral boundary"),
+    ("column associate a copertura", "columns associated with a cover"),
+]
 
 
 def to_english(c: Column) -> Column:
@@ -236,6 +263,11 @@ def to_english(c: Column) -> Column:
     return c
 
 
+def choice(language: Column, it: Column, en: Column) -> Column:
+    """The English wording for en, else the Italian one."""
+    return F.when(language == "en", en).otherwise(it)
+
+
 # Intents of questions. Every list needs one of its words as a substring of the folded question.
 INTENTS: dict[str, list[list[str]]] = {
     "count": [V.COUNT_WORDS],
@@ -277,9 +309,60 @@ INTENTS: dict[str, list[list[str]]] = {
                   "metal", "metallo", "glass", "vetro", "terracotta", "tile"]],
     "inventory": [["quanti oggetti", "quanti elementi", "che tipi", "classi", "classe", "inventario", "assenti", "strutturali", "decorativi", "finishing"]],
     "top_object": [["maggior numero di punti", "piu punti", "volume maggiore", "maggior volume", "piu volume", "piu compatto", "geometricamente compatto"]],
-    "distance": [["distanza", "distance", "vicin", "nearest", "closest", "quanto dista"]],
+    "distance": [["distanza", "dista", "distano", "vicino", "vicini", "nearest", "closest"]],
+    "nearest": [["vicino", "vicini", "nearest", "closest"]],
+    "scene_words": [["scena", "scene"]],
+    "material_names": [["marmo", "marble", "calcare", "limestone", "pietra", "stone", "laterizio", "brick", "mattoni", "intonaco", "plaster", "stucco", "legno", "wood", "metallo", "metal", "vetro", "glass", "terracotta", "cotto", "tile"]],
+    "l2_as_graph": [["l2"], ["graph", "grafo", "relationship", "relationships", "relazione", "relazioni", "structural", "struttural"]],
+    "l3_as_part_of": [["l3"], ["mereolog", "has_part", "part_of", "is_opening_in", "is_ornament_of"]],
+    "l1_as_structural": [["l1"], ["structural", "strutturale", "strutturali"]],
+    "scope_correction": [["non tutta la scena", "non la scena", "solo questa classe", "solo la classe", "solo queste", "solo questi", "not the whole scene", "not whole scene", "only this class"]],
+    "role_follow_up": [["sono struttural", "sono portant", "sono ornamental", "sono aperture", "sono non portant", "are structural", "are load-bearing", "are ornamental", "are openings"]],
+    "whole_scene": [["relazione", "relazioni", "relationship", "relationships", "above", "below", "l1", "l2", "l3", "quali elementi", "quali oggetti", "which elements", "what elements", "which objects", "what objects",
+                     "all elements", "all objects", "scena", "scene"]],
+    "box": [["bounding box", "boundingn box"]],
+    "cloud": [["pointcloud", "point cloud", "nuvola"], ["punti", "points", "bounding"]],
+    "prompt_4": [["interna", "interno", "inside", "internal"], ["esterna", "esterno", "mista", "mixed", "outside", "external"]],
+    "prompt_5": [["confini", "confine", "boundar", "limiti", "limite"]],
+    "prompt_6": [["delimit", "contain", "organize", "organise", "conten", "organizz"], ["spazio", "space", "scena", "scene", "elementi", "elements", "oggetti", "objects"]],
+    "prompt_7": [["adiacent", "adjacent"]],
+    "prompt_8": [["sopra", "sotto", "above", "below"]],
+    "prompt_9": [["intersec", "sovrapp", "overlap", "intersect"]],
+    "prompt_10": [["support", "sosteng", "sostiene", "sosten", "sorregg"], ["quali elementi", "quali oggetti", "elementi sembrano", "oggetti sembrano"]],
+    "prompt_11": [["sistema costruttivo", "sistemi costruttivi"]],
+    "prompt_12": [["portanti", "portante", "non portanti", "non portante", "load-bearing"]],
+    "prompt_13": [["funzione strutturale", "funzioni strutturali"]],
+    "prompt_14": [["distributiv", "passaggio", "accesso", "circolazione"]],
+    "prompt_15": [["gerarchia", "principali", "secondari"]],
+    "prompt_16": [["relazioni spaziali", "spatial relationships"]],
+    "prompt_17": [["ambigui", "ambigu", "difficili da interpretare"]],
+    "prompt_20": [["tipologia", "tipologica", "etichetta tipologica"]],
 }
 
+# The twenty questions of the evaluation, in order.
+PROMPTS = [
+    "Descrivi la scena in modo sintetico, indicando gli elementi principali che riconosci.",
+    "Qual e l'elemento piu importante o dominante nella scena?",
+    "Quali oggetti o elementi architettonici riesci a identificare con maggiore sicurezza?",
+    "La scena rappresenta uno spazio interno, esterno o misto?",
+    "Quali sono i confini principali dello spazio rappresentato?",
+    "Quali elementi sembrano delimitare, contenere o organizzare la scena?",
+    "Quali elementi risultano adiacenti tra loro?",
+    "Quali elementi sembrano essere sopra o sotto altri elementi?",
+    "Ci sono elementi che si intersecano o si sovrappongono?",
+    "Quali elementi sembrano supportare o sostenere altri elementi?",
+    "Quali oggetti sembrano appartenere allo stesso sistema costruttivo?",
+    "Riesci a distinguere tra elementi portanti ed elementi non portanti?",
+    "Quali elementi sembrano avere una funzione strutturale?",
+    "Quali elementi sembrano avere una funzione distributiva, di passaggio o di accesso?",
+    "La scena mostra una gerarchia chiara tra elementi principali e secondari?",
+    "Quali relazioni spaziali sono piu evidenti nella scena?",
+    "Ci sono elementi ambigui o difficili da interpretare? Quali e perche?",
+    "La risposta del modello distingue tra cio che vede e cio che inferisce?",
+    "Il modello sta descrivendo correttamente le relazioni tra oggetti o sta facendo ipotesi troppo generiche?",
+    "Se dovessi sintetizzare la scena con una sola etichetta tipologica, quale useresti e con quale livello di confidenza?",
+]
+
 
 def intent(c: Column, name: str) -> Column:
     found = F.lit(True)

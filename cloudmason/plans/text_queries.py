@@ -292,18 +292,90 @@ _CLASSES = "regexp_extract_all(t, '\\b(" + "|".join(_WORDS) + ")\\b', 1)"
 _NAMED = "list_transform(cs, lambda w: " + Q.case("w", {w: label for label, ws in V.TEXT_WORDS for w in ws}, "NULL") + ")"
 
 
+_OBJECTS = f"list_distinct(regexp_extract_all(lower(q), '\\b((?:{'|'.join(V.CLASSES)})_[0-9]+)\\b', 1))"
+_SPECIAL = {"label": "len(cs) >= 1", "two_labels": "len(cs) >= 2", "one_label": "len(cs) = 1", "pair": f"len(list_distinct({_NAMED})) >= 2", "not_wall": f"len(list_filter({_NAMED}, lambda w: w <> 'wall')) >= 1",
+            "object": f"len({_OBJECTS}) >= 1", "two_objects": f"len({_OBJECTS}) >= 2", "default": "FALSE"}
+
+
 def _condition(c: str) -> str:
-    return "len(cs) >= 1" if c == "label" else f"len(list_distinct({_NAMED})) >= 2" if c == "pair" else _intent(c)
+    if "|" in c:
+        return "(" + " OR ".join(f"({_condition(x)})" for x in c.split("|")) + ")"
+    if c[0] == "!":
+        return f"NOT ({_condition(c[1:])})"
+    if c[0] == "=":
+        return f"t = {Q.fold(Q.quoted([X.PROMPTS[int(c.removeprefix('=prompt_')) - 1]]))}"
+    return _SPECIAL.get(c) or _intent(c)
 
 
 _ROUTED = " ".join(f"WHEN {' AND '.join(map(_condition, cs))} THEN '{h}'" for h, cs in router.HANDLERS)
 
 
-@query(f"WITH {ANSWERS} SELECT answer_id, CASE {_ROUTED} ELSE 'unanswered' END AS handler FROM (SELECT answer_id, t, {_CLASSES} AS cs FROM (SELECT answer_id, {Q.fold('question')} AS t FROM ans))")
+@query(f"WITH {ANSWERS} SELECT answer_id, CASE {_ROUTED} ELSE 'unanswered' END AS handler FROM (SELECT answer_id, q, t, {_CLASSES} AS cs FROM (SELECT answer_id, question AS q, {Q.fold('question')} AS t FROM ans))")
 def r1_r26_router(s, d):
     return router.route(answers(s, d), "question").select("answer_id", "handler")
 
 
-@query(f"SELECT doc_id, CASE {_ROUTED} ELSE 'unanswered' END AS handler FROM (SELECT doc_id, t, {_CLASSES} AS cs FROM (SELECT doc_id, {Q.fold('text')} AS t FROM documents WHERE text IS NOT NULL))")
+@query(f"SELECT doc_id, CASE {_ROUTED} ELSE 'unanswered' END AS handler FROM (SELECT doc_id, q, t, {_CLASSES} AS cs FROM (SELECT doc_id, text AS q, {Q.fold('text')} AS t FROM documents WHERE text IS NOT NULL))")
 def r1_r26_router_on_texts(s, d):
     return router.route(documents(s, d).filter(F.col("text").isNotNull()), "text").select("doc_id", "handler")
+
+
+# Questions and the handler that the documented order gives each, written down by hand.
+EXPECTED = [
+    ("Descrivi la scena in modo sintetico, indicando gli elementi principali che riconosci.", "scene_brief"),
+    ("Qual e l'elemento piu importante o dominante nella scena?", "dominant_element"),
+    ("Quali oggetti o elementi architettonici riesci a identificare con maggiore sicurezza?", "prompt_3"),
+    ("La scena rappresenta uno spazio interno, esterno o misto?", "prompt_4"),
+    ("Quali sono i confini principali dello spazio rappresentato?", "prompt_5"),
+    ("Quali elementi sembrano delimitare, contenere o organizzare la scena?", "prompt_6"),
+    ("Quali elementi risultano adiacenti tra loro?", "prompt_7"),
+    ("Quali elementi sembrano essere sopra o sotto altri elementi?", "above_below"),
+    ("Ci sono elementi che si intersecano o si sovrappongono?", "prompt_9"),
+    ("Quali elementi sembrano supportare o sostenere altri elementi?", "prompt_10"),
+    ("Quali oggetti sembrano appartenere allo stesso sistema costruttivo?", "prompt_11"),
+    ("Riesci a distinguere tra elementi portanti ed elementi non portanti?", "prompt_12"),
+    ("Quali elementi sembrano avere una funzione strutturale?", "material_inventory"),
+    ("Quali elementi sembrano avere una funzione distributiva, di passaggio o di accesso?", "material_inventory"),
+    ("La scena mostra una gerarchia chiara tra elementi principali e secondari?", "prompt_15"),
+    ("Quali relazioni spaziali sono piu evidenti nella scena?", "relationship_summary"),
+    ("Ci sono elementi ambigui o difficili da interpretare? Quali e perche?", "prompt_17"),
+    ("La risposta del modello distingue tra cio che vede e cio che inferisce?", "prompt_18"),
+    ("Il modello sta descrivendo correttamente le relazioni tra oggetti o sta facendo ipotesi troppo generiche?", "relationship_summary"),
+    ("Se dovessi sintetizzare la scena con una sola etichetta tipologica, quale useresti e con quale livello di confidenza?", "material_inventory"),
+    ("What is the area and the volume of the scene?", "area_and_volume"),
+    ("Qual è l'impronta delle colonne?", "area"),
+    ("Give me the coordinates of column_3", "coordinates"),
+    ("Give me the coordinates of everything", "unanswered"),
+    ("L'apertura porta è nel muro?", "opening_in_wall"),
+    ("La colonna è parte dell'arco?", "part_of_classes"),
+    ("Quali elementi sono portanti?", "load_bearing"),
+    ("La colonna è portante?", "class_role"),
+    ("Elencami gli archi", "objects_of_class"),
+    ("Which relationships are there between walls and floors?", "class_pair_relations"),
+    ("Relazioni della classe muro", "class_relations"),
+    ("Ci sono incongruenze?", "inconsistencies"),
+    ("Mostra il grafo L2", "layer_l2_is_no_graph"),
+    ("Is L3 a mereological layer?", "layer_l3_is_no_part_of"),
+    ("Is L1 structural?", "layer_l1_is_not_structural"),
+    ("Elenca tutte le relazioni", "relationship_list"),
+    ("Quali relazioni ci sono?", "relationship_summary"),
+    ("Describe the scene briefly", "scene_brief"),
+    ("How many columns are there?", "count_of_class"),
+    ("Which classes are present?", "present_classes"),
+    ("Quante classi semantiche?", "class_count"),
+    ("Does the column support the arch?", "support_between"),
+    ("What supports the roof?", "open_support"),
+    ("Qual è l'oggetto con più punti?", "requested_facts"),
+    ("Distanza tra wall_1 e wall_2", "distance"),
+    ("Oggetto vicino a wall_1", "nearest_objects"),
+    ("Is there plaster?", "material_inventory"),
+    ("Di che materiale è la colonna centrale?", "annotated_description"),
+    ("Ciao", "unanswered"),
+    (None, "unanswered"),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {Q.quoted([h])})" for i, (_, h) in enumerate(EXPECTED)) + ") v(question_no, handler)")
+def r14_r18_expected_handlers(s, d):
+    rows = s.createDataFrame([(i, q) for i, (q, _) in enumerate(EXPECTED)], "question_no int, question string")
+    return router.route(rows, "question").select("question_no", "handler")

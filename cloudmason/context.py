@@ -5,16 +5,27 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from cloudmason.functions import geometry as G
 from cloudmason.functions import text as X
 from cloudmason.functions import vocabulary as V
 from cloudmason.operators import annotations as A
+from cloudmason.operators import answers as N
 from cloudmason.operators import features as S
 from cloudmason.operators import points as P
 from cloudmason.operators import relations as R
+from cloudmason.operators import router
+from cloudmason.session import cut
+
+#: What is said where a question takes a layer for something that it is not.
+STATEMENTS = {
+    "part_of": "Part-of relations are no computed layer: they hold only where the CSV or the ontology graph states them.",
+    "layer_l2_is_no_graph": "L2 is no graph: it is the descriptive detail of the CSV (descriptions, material, typology, function, notes, stated support).",
+    "layer_l3_is_no_part_of": "L3 is no layer of part-of relations: it is the ontology graph built from the CSV or from descriptions.",
+    "layer_l1_is_not_structural": "L1 holds geometric relations only (near, adjacent_to, above, below); supports and rests_on are structural evidence, kept apart.",
+}
 
 
 @dataclass(frozen=True)
@@ -58,9 +69,9 @@ class SceneContext:
         return replace(self, objects=only(self.objects), points=only(self.points), annotations=only(self.annotations))
 
     @cached_property
-    def threshold(self) -> float:
-        """The distance threshold; with none given, one for all scenes of the handle, from their median."""
-        return self.parameters.threshold or float(R.auto_threshold(self.objects).agg(F.percentile_approx("threshold", 0.5)).first()[0] or V.NEAR_M)
+    def threshold(self) -> float | DataFrame:
+        """The distance threshold; with none given, scene_id and threshold, one derived for each scene."""
+        return self.parameters.threshold or R.auto_threshold(self.objects)
 
     @cached_property
     def relationships(self) -> DataFrame:
@@ -192,11 +203,95 @@ class SceneContext:
         raw = self.points.withColumnRenamed("code", "semantic_label").drop("label")
         return SceneContext.from_points(raw, self.annotations, p)
 
-    def answer(self, question: DataFrame, column: str = "question") -> DataFrame:
+    def ontology_rows(self) -> DataFrame:
+        """The matched annotations as rows for the ontology graph; a missing class is that of the object."""
+        m = self.matched.filter(F.col("obj_name").isNotNull())
+        own = lambda c: F.col(c) if c in m.columns else F.lit(None).cast("string")
+        return m.select(F.col("annotation_id").alias("row_id"), "scene_id", F.col("obj_name").alias("object_name"), F.lit(None).cast("string").alias("class_semantic_label"), F.coalesce("label", "obj_label").alias("semantic_label"), "x", "y", "z", F.coalesce(own("material"), own("material_description")).alias("material"), own("typology").alias("typology"), own("function").alias("function"), own("description").alias("description"), own("position").alias("position"))
+
+    def ontology_graph(self) -> tuple[DataFrame, DataFrame]:
+        """(nodes, edges) of the matched annotations and the relations between their objects. No annotations: ValueError."""
+        from cloudmason.operators import ontology as H
+
+        rows = cut(self.ontology_rows())
+        named = cut(H.elements(rows)).join(rows.select("row_id", "object_name"), "row_id").select("scene_id", "object_name", "node_id")
+        r = H.bridge_l1(self.relationships).select("scene_id", "source", "target", "rel_type")
+        for end in ("source", "target"):
+            r = r.join(named.select("scene_id", F.col("object_name").alias(end), F.col("node_id").alias(f"{end}_id")), ["scene_id", end])
+        return H.build(rows, r.select("scene_id", F.col("source_id").alias("source"), F.col("target_id").alias("target"), "rel_type").distinct())
+
+    def answer(self, question: DataFrame, column: str = "question", default_label: str | None = None) -> DataFrame:
         """Handler, classes and language of each question (see operators.router)."""
-        from cloudmason.operators.router import route
+        return router.route(question, column, default_label)
+
+    def ask(self, text: str, default_label: str | None = None) -> list[tuple[str, str, DataFrame | str | None]]:
+        """(question, handler, answer) for each question of an input. The answer is the rows of the handler's operator, a
+        fixed statement where the handler gives one, or None where no handler fits; one such question leaves all unanswered."""
+        asked = self.objects.sparkSession.createDataFrame([(text,)], "question string")
+        routed = router.route(router.parts(asked, "question"), "text", default_label).orderBy("part").collect()  # one row per question typed
+        found = [(r["text"], r["handler"], self._answered(r)) for r in routed]
+        return [(q, h, None) for q, h, _ in found] if any(h == "unanswered" for _, h, _ in found) else found
+
+    def _answered(self, asked: Row) -> DataFrame | str | None:
+        text = asked["text"] or ""
+        folded = " ".join(text.lower().split())
+        labels, names = list(asked["classes"]), list(asked["objects"])
+        label, name, handler = (labels or [None])[0], (names or [None])[0], asked["handler"]
+        pair = list(dict.fromkeys(labels))[:2]
+        between = lambda r: r.filter(F.col("source_label").isin(pair) & F.col("target_label").isin(pair) & (F.col("source_label") != F.col("target_label")))
+        about = lambda r: r.filter((F.col("source_label") == label) | (F.col("target_label") == label)) if label else r
+        supports = lambda: self.evidence.filter(F.col("rel_type") == "supports")
+        roles = lambda *rs: R.with_roles(self.objects).filter(F.col("role").isin(*rs)).select("scene_id", "role", "obj_name")
+        counts = lambda: S.pivoted(self.objects)
+        facts = {
+            "area_and_volume": lambda: S.scene_box(self.objects).select("scene_id", "xy_area", "volume"),
+            "area": lambda: self.measure_occupied_area(label),
+            "coordinates": lambda: self.list_object_geometry(None if name else label, name),
+            "dominant_element": lambda: S.dominant(self.objects, self.relationships),
+            "annotated_description": lambda: self.get_object_annotation(label, name, text),
+            "opening_in_wall": lambda: between(self.relationships),
+            "part_of_classes": lambda: STATEMENTS["part_of"],
+            "load_bearing": lambda: roles("structural", "support_surface"),
+            "class_role": lambda: R.with_roles(self._target(label, None, False)).groupBy("scene_id", "semantic_label", "role").agg(F.count("*").alias("n")),
+            "objects_of_class": lambda: self.list_object_geometry(label),
+            "class_pair_relations": lambda: R.pair_relation_summary(between(self.relationships)),
+            "class_relations": lambda: R.class_relation_summary(about(self.relationships)),
+            "inconsistencies": self.find_relationship_anomalies,
+            "relationship_list": lambda: self.list_relationships(limit=30),
+            "relationship_summary": lambda: self.relationships.groupBy("scene_id", "rel_level", "rel_type").agg(F.count("*").alias("n")),
+            "above_below": lambda: R.first_rows(self.relationships.filter(F.col("rel_type") == "above"), ["ord_a", "ord_b"], 20),
+            "scene_brief": lambda: S.brief(counts()),
+            "count_of_class": lambda: self.count_objects(label),
+            "present_classes": self.list_semantic_labels,
+            "class_count": lambda: self.objects.groupBy("scene_id").agg(F.count_distinct("semantic_label").alias("n_classes")),
+            "support_between": lambda: between(supports()),
+            "open_support": lambda: about(supports()),
+            "requested_facts": self.get_scene_statistics,
+            "distance": lambda: self.measure_distance(*names[:2]) if len(names) > 1 else R.class_distance(self.objects, labels[0], labels[1], "vertical" in folded),
+            "nearest_objects": lambda: self.find_nearest_objects(name, semantic_label=label),
+            "material_inventory": lambda: self.matched.filter(F.col("obj_name").isNotNull()).select("scene_id", "obj_name", *(c for c in ("material_description", "material", "typology", "function") if c in self.matched.columns)),
+            "prompt_1": lambda: N.scene_summary(self.objects),
+            "prompt_2": lambda: S.dominant(self.objects, self.relationships),
+            "prompt_3": lambda: R.first_rows(self.objects, [F.coalesce("point_count", F.lit(0)).desc(), "obj_ord"], 5),
+            "prompt_4": lambda: S.inside_outside(counts()),
+            "prompt_6": lambda: N.organising(self.objects),
+            "prompt_7": lambda: R.undirected(self.relationships.filter(F.col("rel_type") == "adjacent_to")),
+            "prompt_8": lambda: R.first_rows(self.relationships.filter(F.col("rel_type") == "above"), ["ord_a", "ord_b"], 20),
+            "prompt_9": lambda: R.overlapping(self.objects),
+            "prompt_10": lambda: R.first_rows(supports(), ["source", "target"], 20),
+            "prompt_15": lambda: N.hierarchy(self.objects),
+            "prompt_16": lambda: self.relationships.groupBy("scene_id", "rel_type").agg(F.count("*").alias("n")),
+            "prompt_17": lambda: R.first_rows(self.objects, [F.coalesce("point_count", F.lit(0)).asc(), "obj_ord"], 8),
+            "prompt_18": lambda: N.observation_check(self.objects),
+            "prompt_19": lambda: N.layer_sizes(self.objects, self.relationships, self.evidence),
+            "prompt_20": lambda: S.typology(counts()),
+        }
+        if handler.startswith("layer_"):
+            return STATEMENTS[handler]
+        if handler.startswith("prompt_") and handler not in facts:
+            return N.object_lists(self.objects).filter(F.col("answer") == f"P{handler.removeprefix('prompt_')}")
+        return facts[handler]() if handler in facts else None
 
-        return route(question, column)
 
     def find_label(self, text: DataFrame, column: str) -> DataFrame:
         return text.withColumn("classes", X.mentioned_classes(F.col(column)))

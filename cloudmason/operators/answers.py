@@ -55,3 +55,23 @@ def organising(objects: DataFrame) -> DataFrame:
     outer = S.outer_columns(objects).withColumn("outer", F.lit(1))
     d = objects.filter(F.col("semantic_label") == "column").join(outer, ["scene_id", "obj_name"], "left")
     return d.groupBy("scene_id").agg(F.count("outer").alias("n_outer"), (F.count("*") - F.count("outer")).alias("n_inner"))
+
+
+# The four sections of the answer on observation and inference.
+OBSERVATION_CHECK = {
+    "observed": "Questa domanda valuta una risposta del modello, ma nel contesto corrente non è presente una risposta precedente da analizzare.",
+    "relations": "Nessuna relazione di scena usata direttamente.",
+    "inference": "La risposta corretta deve separare dati osservati, relazioni L1/evidenza strutturale/L3, interpretazioni architettoniche e confidenza. Il formato attuale dell'agente impone proprio queste quattro sezioni.",
+    "confidence": "alta come criterio di valutazione; non valutabile su una risposta assente.",
+}
+
+
+def observation_check(objects: DataFrame) -> DataFrame:
+    """P18: scene_id and the four sections, the same for every scene."""
+    return objects.select("scene_id").distinct().select("scene_id", *(F.lit(t).alias(c) for c, t in OBSERVATION_CHECK.items()))
+
+
+def hierarchy(objects: DataFrame) -> DataFrame:
+    """P15: principal and secondary objects of each scene by role."""
+    principal = F.col("role").isin("structural", "support_surface")
+    return with_roles(objects).groupBy("scene_id", F.when(principal, "principal").otherwise("secondary").alias("rank")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("obj_name")), ", ").alias("names"))

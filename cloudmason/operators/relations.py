@@ -21,24 +21,29 @@ CELL_M = 8.0
 KEEP = ["obj_ord", "obj_name", "semantic_label", "point_count", "cx", "cy", "cz", "min_x", "min_y", "min_z", "max_x", "max_y", "max_z"]
 
 
-def prefixed(objects: DataFrame, p: str) -> DataFrame:
-    return objects.select("scene_id", *(F.col(c).alias(f"{p}_{c}") for c in KEEP))
+def prefixed(objects: DataFrame, p: str, more: tuple[str, ...] = ()) -> DataFrame:
+    return objects.select("scene_id", *(F.col(c).alias(f"{p}_{c}") for c in (*KEEP, *more)))
 
 
-def meeting_pairs(objects: DataFrame, reach: float, centres: bool = False, cell: float = CELL_M) -> DataFrame:
-    """Pairs a, b (obj_ord of a lower) of a scene whose boxes, or centroids, are within reach along x and y."""
-    half = reach / 2 * (1 + 1e-9) + 1e-9
+def meeting_pairs(objects: DataFrame, reach: float | str, centres: bool = False, cell: float = CELL_M) -> DataFrame:
+    """Pairs a, b (obj_ord of a lower) of a scene whose boxes, or centroids, are within reach along x and y.
+
+    reach: metres, or a column of objects that holds them, the same for all objects of a scene; cells grow with it."""
+    own = isinstance(reach, str)
 
     def covered(p: str) -> DataFrame:
-        d = prefixed(objects, p)
+        d = prefixed(objects, p, (reach,) if own else ())
+        half = (F.col(f"{p}_{reach}") if own else F.lit(float(reach))) / 2 * (1 + 1e-9) + 1e-9
+        side = F.greatest(F.col(f"{p}_{reach}"), F.lit(cell)) if own else F.lit(cell)
         for x in "xy":
             lo, hi = (F.col(f"{p}_c{x}"),) * 2 if centres else (F.col(f"{p}_min_{x}"), F.col(f"{p}_max_{x}"))
-            d = d.withColumn(f"{p}_lo_{x}", lo - half).withColumn(f"g{x}", F.explode(F.sequence(F.floor((lo - half) / cell), F.floor((hi + half) / cell))))
+            d = d.withColumn(f"{p}_lo_{x}", lo - half).withColumn(f"g{x}", F.explode(F.sequence(F.floor((lo - half) / side), F.floor((hi + half) / side))))
         return d
 
     pairs = covered("a").join(covered("b"), ["scene_id", "gx", "gy"]).filter(F.col("a_obj_ord") < F.col("b_obj_ord"))
+    side = F.greatest(F.col(f"a_{reach}"), F.lit(cell)) if own else F.lit(cell)
     for x in "xy":
-        pairs = pairs.filter(F.floor(F.greatest(f"a_lo_{x}", f"b_lo_{x}") / cell) == F.col(f"g{x}"))
+        pairs = pairs.filter(F.floor(F.greatest(f"a_lo_{x}", f"b_lo_{x}") / side) == F.col(f"g{x}"))
     return pairs.drop("gx", "gy", "a_lo_x", "a_lo_y", "b_lo_x", "b_lo_y")
 
 
@@ -54,12 +59,22 @@ def _emit(pairs: DataFrame, rows: list[tuple[Column, str, str, str, int]]) -> Da
     return pairs.select("scene_id", F.col("a_obj_ord").alias("ord_a"), F.col("b_obj_ord").alias("ord_b"), F.explode(F.array_compact(F.array(*made))).alias("r")).select("scene_id", "r.source", "r.target", "r.rel_type", F.lit("geometric").alias("rel_level"), "r.source_label", "r.target_label", "ord_a", "ord_b", "r.k")
 
 
-def relationships(objects: DataFrame, threshold: float = V.NEAR_M) -> DataFrame:
-    """Layer L1: scene_id, source, target, rel_type, rel_level, labels and the order (ord_a, ord_b, k) of listing."""
-    yes = F.lit(True)
-    near = meeting_pairs(objects, threshold, centres=True).filter(G.centroid_distance("a", "b") <= threshold)
-    boxes = meeting_pairs(objects, V.ABOVE_HIGH)
-    close = G.bounds_gap("a", "b") <= min(threshold * V.ADJACENT_SHARE, V.ADJACENT_MOST)
+def relationships(objects: DataFrame, threshold: float | DataFrame = V.NEAR_M) -> DataFrame:
+    """Layer L1: scene_id, source, target, rel_type, rel_level, labels and the order (ord_a, ord_b, k) of listing.
+
+    threshold: one distance for all scenes, or scene_id, threshold; scenes without one take the default."""
+    yes, limit = F.lit(True), threshold
+    if isinstance(threshold, DataFrame):
+        own = threshold.select("scene_id", F.col("threshold").alias("reach_m"))
+        objects = objects.drop("reach_m").join(own, "scene_id", "left").fillna(V.NEAR_M, ["reach_m"])
+        near = meeting_pairs(objects, "reach_m", centres=True).filter(G.centroid_distance("a", "b") <= F.col("a_reach_m"))
+        boxes = meeting_pairs(objects, V.ABOVE_HIGH).join(own.withColumnRenamed("reach_m", "limit_m"), "scene_id", "left")
+        limit = F.coalesce(F.col("limit_m"), F.lit(V.NEAR_M))
+        close = G.bounds_gap("a", "b") <= F.least(limit * V.ADJACENT_SHARE, F.lit(V.ADJACENT_MOST))
+    else:
+        near = meeting_pairs(objects, threshold, centres=True).filter(G.centroid_distance("a", "b") <= threshold)
+        boxes = meeting_pairs(objects, V.ABOVE_HIGH)
+        close = G.bounds_gap("a", "b") <= min(threshold * V.ADJACENT_SHARE, V.ADJACENT_MOST)
     up, down = is_above("a", "b"), is_above("b", "a") & ~is_above("a", "b")
     return _emit(near, [(yes, "a", "b", "near", 0), (yes, "b", "a", "near", 1)]).unionByName(
         _emit(boxes, [(up, "a", "b", "above", 2), (up, "b", "a", "below", 3), (down, "b", "a", "above", 2), (down, "a", "b", "below", 3), (close, "a", "b", "adjacent_to", 4), (close, "b", "a", "adjacent_to", 5)])

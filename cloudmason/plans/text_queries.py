@@ -71,9 +71,18 @@ def f4_pascal(s, d):
     return objects(s, d).select("object_id", X.pascal(F.col("obj_name")).alias("pascal"))
 
 
-@query(f"SELECT line_id, regexp_replace(regexp_replace({Q.fold('raw_line')}, '[^\\p{{L}}\\p{{N}}]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM annotation_lines WHERE source_row = 1")
+_HEADER_SEP = "CASE greatest(" + ", ".join(f"len(raw_line) - len(replace(raw_line, {q}, ''))" for q in ("','", "';'", "chr(9)", "'|'")) + ") " + " ".join(f"WHEN len(raw_line) - len(replace(raw_line, {q}, '')) THEN {q}" for q in ("','", "';'", "chr(9)", "'|'")) + " END"
+
+
+@query(f"SELECT line_id, column_no, regexp_replace(regexp_replace({Q.fold('name')}, '[^\\p{{L}}\\p{{N}}]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM (SELECT line_id, unnest(string_split(raw_line, {_HEADER_SEP})) AS name, generate_subscripts(string_split(raw_line, {_HEADER_SEP}), 1) AS column_no FROM annotation_lines WHERE source_row = 1)")
 def f5_a10_header_slug(s, d):
-    return table(s, d, "annotation_lines").filter(F.col("source_row") == 1).select("line_id", X.header_slug(F.col("raw_line")).alias("slug"))
+    """The column names of every header row."""
+    h = table(s, d, "annotation_lines").filter(F.col("source_row") == 1)
+    sep, most = F.lit(","), F.size(F.split("raw_line", ","))
+    for mark in (";", "\t", "|"):
+        n = F.size(F.split("raw_line", "\\" + mark if mark == "|" else mark))
+        sep, most = F.when(n > most, F.lit("\\|" if mark == "|" else mark)).otherwise(sep), F.greatest(n, most)
+    return h.select("line_id", F.posexplode(F.split("raw_line", sep)).alias("at", "name")).select("line_id", (F.col("at") + 1).alias("column_no"), X.header_slug(F.col("name")).alias("slug"))
 
 
 @query("SELECT record_id, trim(unnest(string_split_regex(function, '[;|]'))) AS function FROM catalogue WHERE function IS NOT NULL")
@@ -99,17 +108,35 @@ def f9_label_alias(s, d):
     return table(s, d, "annotations").select("annotation_id", X.l2_label(F.col("semantic_label")).alias("label"))
 
 
-@query(f"SELECT r.predicate AS written, {Q.case('r.predicate', V.flat(V.PREDICATES), 'r.predicate')} AS predicate FROM (VALUES ('P46'), ('crm:P46i'), ('P56_bears_feature'), ('crm:P2_has_type')) r(predicate)")
+# Spellings met in turn by the rows of a table, with blanks around every third.
+WRITTEN = [*V.flat(V.PREDICATES), "P999", "crm:P46", "near"]
+TRUTHS = ["yes", "No", "SI", "0", "1", "true", "FALSE", "y", "s", "", "perhaps"]
+LEVELS = ["geometric", "csv_structural_evidence", "L3", "l1", "KG", "L2", "all", "structural", "zzz"]
+
+
+def _in_turn(s, d, words: list[str], name: str) -> DataFrame:
+    word = F.element_at(F.array(*map(F.lit, words)), (F.col("record_id") % len(words) + 1).cast("int"))
+    return table(s, d, "catalogue").select("record_id", F.when(F.col("record_id") % 3 == 0, F.concat(F.lit(" "), word, F.lit(" "))).otherwise(word).alias(name))
+
+
+def _turned(words: list[str], name: str) -> str:
+    word = f"[{Q.quoted(words)}][record_id % {len(words)} + 1]"
+    return f"(SELECT record_id, CASE WHEN record_id % 3 = 0 THEN ' ' || {word} || ' ' ELSE {word} END AS {name} FROM catalogue)"
+
+
+@query(f"SELECT record_id, {Q.case('trim(written)', V.flat(V.PREDICATES), 'trim(written)')} AS predicate FROM {_turned(WRITTEN, 'written')}")
 def f10_predicate_alias(s, d):
-    rows = s.createDataFrame([("P46",), ("crm:P46i",), ("P56_bears_feature",), ("crm:P2_has_type",)], "written string")
-    return rows.select("written", X.predicate(F.col("written")).alias("predicate"))
+    return _in_turn(s, d, WRITTEN, "written").select("record_id", X.predicate(F.col("written")).alias("predicate"))
+
 
+_TOKENS = "(SELECT line_id, unnest(string_split_regex(raw_line, '[;|\\t\"]')) AS cell FROM annotation_lines WHERE raw_line IS NOT NULL)"
 
-@query("SELECT line_id, try_cast(replace(regexp_replace(split_part(raw_line, ';', 2), '^[\\s\\x{00A0}]+|[\\s\\x{00A0}]+$', '', 'g'), ',', '.') AS DOUBLE) AS x FROM annotation_lines WHERE contains(raw_line, ';') AND NOT contains(raw_line, '\"') AND NOT regexp_matches(split_part(raw_line, ';', 2), '[A-Za-z]')")
+
+@query(f"SELECT line_id, cell, try_cast(replace(regexp_replace(cell, '^[\\s\\x{{00A0}}]+|[\\s\\x{{00A0}}]+$', '', 'g'), ',', '.') AS DOUBLE) AS number FROM {_TOKENS} WHERE regexp_matches(cell, '[0-9]') AND NOT regexp_matches(cell, '[A-Za-z]')")
 def f11_decimal(s, d):
-    cell = F.split_part(F.col("raw_line"), F.lit(";"), F.lit(2))
-    a = table(s, d, "annotation_lines").filter(F.col("raw_line").contains(";") & ~F.col("raw_line").contains('"') & ~cell.rlike("[A-Za-z]"))
-    return a.select("line_id", X.decimal(cell).alias("x"))
+    """Every cell of every line that holds a digit and no letter."""
+    cells = table(s, d, "annotation_lines").filter(F.col("raw_line").isNotNull()).select("line_id", F.explode(F.split("raw_line", '[;|\t"]')).alias("cell"))
+    return cells.filter(F.col("cell").rlike("[0-9]") & ~F.col("cell").rlike("[A-Za-z]")).select("line_id", "cell", X.decimal(F.col("cell")).alias("number"))
 
 
 @query(f"SELECT annotation_id, coalesce(nullif({Q.strip('notes')}, ''), nullif({Q.strip('typology')}, ''), nullif({Q.strip('function')}, '')) AS value FROM annotations")
@@ -117,9 +144,9 @@ def f12_f13_first_value(s, d):
     return table(s, d, "annotations").select("annotation_id", X.first_value(F.col("notes"), F.col("typology"), F.col("function")).alias("value"))
 
 
-@query("SELECT v.word, lower(trim(v.word)) IN ('1', 'true', 'yes', 'y', 'si', 's') AS truthy FROM (VALUES ('yes'), ('No'), (' SI '), ('0'), ('1')) v(word)")
+@query(f"SELECT record_id, lower(trim(word)) IN ('1', 'true', 'yes', 'y', 'si', 's') AS truthy FROM {_turned(TRUTHS, 'word')}")
 def f14_truthy(s, d):
-    return s.createDataFrame([("yes",), ("No",), (" SI ",), ("0",), ("1",)], "word string").select("word", X.truthy(F.col("word")).alias("truthy"))
+    return _in_turn(s, d, TRUTHS, "word").select("record_id", X.truthy(F.col("word")).alias("truthy"))
 
 
 @query(f"SELECT doc_id, array_to_string({Q.mentioned(Q.fold('text'))}, ',') AS classes FROM documents WHERE text IS NOT NULL")
@@ -127,7 +154,12 @@ def f22_mentioned_classes(s, d):
     return documents(s, d).filter(F.col("text").isNotNull()).select("doc_id", F.array_join(X.mentioned_classes(F.col("text")), ",").alias("classes"))
 
 
-@query()
+_WORDS = sorted((w for _, ws in V.TEXT_WORDS for w in ws), key=lambda w: -len(w))
+_CLASSES = "regexp_extract_all(t, '\\b(" + "|".join(_WORDS) + ")\\b', 1)"
+_NAMED = "list_transform(cs, lambda w: " + Q.case("w", {w: label for label, ws in V.TEXT_WORDS for w in ws}, "NULL") + ")"
+
+
+@query(f"SELECT doc_id, array_to_string({{named}}, ',') AS classes FROM (SELECT doc_id, {{found}} AS cs FROM (SELECT doc_id, {Q.fold('text')} AS t FROM documents WHERE text IS NOT NULL))".replace("{named}", _NAMED).replace("{found}", _CLASSES))
 def f23_question_classes(s, d):
     return documents(s, d).filter(F.col("text").isNotNull()).select("doc_id", F.array_join(X.question_classes(F.col("text")), ",").alias("classes"))
 
@@ -177,10 +209,13 @@ def f31_sentence_split(s, d):
     return documents(s, d).filter(F.col("text").isNotNull()).select("doc_id", F.size(X.split_sentences(F.col("text"))).alias("n_sentences"))
 
 
-@query("SELECT v.level, v.layer FROM (VALUES ('geometric', 'L1'), ('csv_structural_evidence', 'structural_evidence'), ('L3', 'L3_KG_DETAIL')) v(level, layer)")
+_LAYER = {"geometric": "L1", "l1": "L1", "csv_structural_evidence": "structural_evidence", "structural": "structural_evidence", "l2": "L2_DETAIL", "l3": "L3_KG_DETAIL", "kg": "L3_KG_DETAIL", "all": "all"}
+
+
+@query(f"SELECT record_id, {Q.case('lower(trim(level))', _LAYER, 'NULL')} AS layer FROM {_turned(LEVELS, 'level')}")
 def f32_b7_layer_of_level(s, d):
-    rows = s.createDataFrame([("geometric",), ("csv_structural_evidence",), ("L3",)], "level string")
-    return rows.select("level", X.layer_key(F.regexp_replace("level", "^csv_", "")).alias("layer"))
+    rows = _in_turn(s, d, LEVELS, "level")
+    return rows.select("record_id", X.layer_key(F.regexp_replace("level", "csv_", "")).alias("layer"))
 
 
 @query("SELECT scene_id, regexp_replace(scene_name, '[^A-Za-z0-9._-]+', '_', 'g') AS safe FROM scenes")
@@ -216,6 +251,8 @@ def i1_i24_intents(s, d):
 
 # ---- K: groundedness
 
+_FIRST_NAMED = f"({_NAMED})[1]"
+
 
 @query(f"""WITH {SAID}, absent AS (SELECT s.scene_id, c.semantic_label FROM (SELECT DISTINCT scene_id FROM objects) s, class_list c WHERE NOT EXISTS (SELECT 1 FROM objects o WHERE o.scene_id = s.scene_id AND o.semantic_label = c.semantic_label))
     SELECT DISTINCT answer_id, a.semantic_label FROM said JOIN absent a USING (scene_id) WHERE regexp_matches(s, '\\b' || a.semantic_label || '\\b') AND NOT regexp_matches(s, '\\b(?:{'|'.join(V.ABSENCE_MARKERS)})|\\bno\\b')""")
@@ -223,6 +260,19 @@ def k1_absent_class_claimed(s, d):
     return K.absent_claimed(answers(s, d), objects(s, d))
 
 
+_CLAIMS = "claims AS (SELECT scene_id || ' ' || class_id AS answer_id, scene_id, CASE class_id % 3 WHEN 0 THEN 'The scene shows a ' || semantic_label || '. It is old' WHEN 1 THEN 'No ' || semantic_label || ' here. A wall; nothing else' ELSE 'There is no stairs' || chr(10) || 'A ' || semantic_label || ' stands alone' END AS answer FROM scenes, class_list)"
+
+
+@query(f"""WITH {_CLAIMS}, said AS (SELECT answer_id, scene_id, {Q.fold('s')} AS s FROM (SELECT answer_id, scene_id, unnest(regexp_split_to_array(answer, '[.\\n;]')) AS s FROM claims)),
+    absent AS (SELECT s.scene_id, c.semantic_label FROM (SELECT DISTINCT scene_id FROM objects) s, class_list c WHERE NOT EXISTS (SELECT 1 FROM objects o WHERE o.scene_id = s.scene_id AND o.semantic_label = c.semantic_label))
+    SELECT DISTINCT answer_id, a.semantic_label FROM said JOIN absent a USING (scene_id) WHERE regexp_matches(s, '\\b' || a.semantic_label || '\\b') AND NOT regexp_matches(s, '\\b(?:{'|'.join(V.ABSENCE_MARKERS)})|\\bno\\b')""")
+def k1_claims_of_every_class(s, d):
+    """Made-up answers, three wordings in turn, that claim each class for each scene."""
+    each = table(s, d, "scenes").select("scene_id", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(V.CLASSES)))).alias("k")).select("scene_id", "k.i", "k.c")
+    text = F.when(F.col("i") % 3 == 0, F.concat(F.lit("The scene shows a "), "c", F.lit(". It is old"))).when(F.col("i") % 3 == 1, F.concat(F.lit("No "), "c", F.lit(" here. A wall; nothing else"))).otherwise(F.concat(F.lit("There is no stairs\nA "), "c", F.lit(" stands alone")))
+    return K.absent_claimed(each.select(F.concat_ws(" ", "scene_id", F.col("i").cast("string")).alias("answer_id"), "scene_id", text.alias("answer")), objects(s, d))
+
+
 @query(f"WITH {ANSWERS}, r AS (SELECT unnest(['contains', 'inside']) AS w) SELECT answer_id, w AS relation_type FROM ans, r WHERE regexp_matches({Q.fold('answer')}, '\\b' || w || '\\b')")
 def k2_invalid_relation(s, d):
     return K.invalid_relations(answers(s, d))
@@ -233,7 +283,12 @@ def k3_unknown_object(s, d):
     return K.unknown_objects(answers(s, d), objects(s, d))
 
 
-@query()
+@query(f"""WITH {ANSWERS}, f AS (SELECT *, {Q.fold('question')} AS q, try_cast(nullif(regexp_extract(answer, '([0-9]+)', 1), '') AS BIGINT) AS stated FROM ans),
+    g AS (SELECT answer_id, scene_id, stated, {_intent('class_count')} AS classes, {_intent('count')} AS counts, ({_FIRST_NAMED}) AS label, {Q.any_of('t', V.OBJECT_WORDS)} AS things FROM (SELECT *, q AS t, {_CLASSES.replace('t,', 'q,')} AS cs FROM f)),
+    h AS (SELECT g.*, (SELECT count(*) FROM objects o WHERE o.scene_id = g.scene_id) AS n_objects, (SELECT count(DISTINCT semantic_label) FROM objects o WHERE o.scene_id = g.scene_id) AS n_classes, (SELECT count(*) FROM objects o WHERE o.scene_id = g.scene_id AND o.semantic_label = g.label) AS n_label FROM g WHERE stated IS NOT NULL)
+    SELECT answer_id, 'class_count_mismatch' AS kind, stated, n_classes AS expected FROM h WHERE classes AND stated <> n_classes
+    UNION ALL SELECT answer_id, 'object_count_mismatch', stated, n_label FROM h WHERE counts AND label IS NOT NULL AND stated <> n_label
+    UNION ALL SELECT answer_id, 'object_total_count_mismatch', stated, n_objects FROM h WHERE counts AND label IS NULL AND things AND stated <> n_objects""")
 def k4_k6_count_mismatch(s, d):
     return K.count_checks(answers(s, d), objects(s, d))
 
@@ -287,11 +342,6 @@ def a14_question_list(s, d):
     return questions(documents(s, d).filter(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("?"), F.lit("?\n")), "\n")).alias("line_no", "line")))
 
 
-_WORDS = sorted((w for _, ws in V.TEXT_WORDS for w in ws), key=lambda w: -len(w))
-_CLASSES = "regexp_extract_all(t, '\\b(" + "|".join(_WORDS) + ")\\b', 1)"
-_NAMED = "list_transform(cs, lambda w: " + Q.case("w", {w: label for label, ws in V.TEXT_WORDS for w in ws}, "NULL") + ")"
-
-
 _OBJECTS = f"list_distinct(regexp_extract_all(lower(q), '\\b((?:{'|'.join(V.CLASSES)})_[0-9]+)\\b', 1))"
 _SPECIAL = {"label": "len(cs) >= 1", "two_labels": "len(cs) >= 2", "one_label": "len(cs) = 1", "pair": f"len(list_distinct({_NAMED})) >= 2", "not_wall": f"len(list_filter({_NAMED}, lambda w: w <> 'wall')) >= 1",
             "object": f"len({_OBJECTS}) >= 1", "two_objects": f"len({_OBJECTS}) >= 2", "default": "FALSE"}

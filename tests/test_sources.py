@@ -70,10 +70,13 @@ def test_questions(spark, tmp_path):
 
 
 def test_reports(spark, tmp_path):
-    r = spark.createDataFrame([("q", "m", None, [("t", "{}", "a\nb")], "ans", "ref", [("k", "d")], 1.0, None), ("q2", "m", None, None, None, None, None, None, "boom")], "question string, model string, chain_of_thought string, tool_calls array<struct<name:string,args:string,output:string>>, final_answer string, reference_answer string, grounding_issues array<struct<kind:string,detail:string>>, latency_s double, error string")
+    r = spark.createDataFrame([("q", "m", None, [("t", "{}", "a\nb", "as asked")], "ans", "ref", [("k", "d")], 1.0, None), ("q2", "m", None, None, None, None, None, None, "boom")], "question string, model string, chain_of_thought string, tool_calls array<struct<name:string,args:string,output:string,reasoning:string>>, final_answer string, reference_answer string, grounding_issues array<struct<kind:string,detail:string>>, latency_s double, error string")
     sinks.write_csv_report(r, str(tmp_path / "c"))
     back = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(str(tmp_path / "c"))
     assert back.columns == sinks.CSV_COLUMNS and {x["reliability"] for x in back.collect()} == {"ungrounded", "error"}
+    one = next(x for x in back.collect() if x["question"] == "q")
+    assert one["trace"].split("\n")[:2] == ["1. Domanda: q", "2. Tool chiamato: t({})"] and one["trace"].endswith("4. Risposta finale: ans") and one["tool_call_reasoning"] == "t: as asked" and one["num_tool_calls"] == "1" and one["latency_s"] == "1.000"
+    assert {x["trace"] for x in back.collect() if x["question"] == "q2"} == {"1. Domanda: q2\n2. Errore: boom"}
     sinks.write_json_report(r, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
 

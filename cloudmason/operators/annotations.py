@@ -9,8 +9,10 @@ from cloudmason.functions import geometry as G
 from cloudmason.functions import text as X
 from cloudmason.functions import vocabulary as V
 
-#: Cell sizes of the search rings in metres; a row not settled in one goes to the next. The last holds whole scenes.
-RINGS = [2.0, 16.0, 128.0, 1e9]
+#: Cell sizes of the search rings in metres; a row not settled in one goes to the next, those left at last to the search by cells.
+RINGS = [2.0, 16.0, 128.0]
+#: Cells along each axis of a scene's box in the search by cells.
+ACROSS = 32
 NODE_FIELDS = ["material", "typology", "function", "description"]
 
 
@@ -34,10 +36,10 @@ def match_objects(annotations: DataFrame, objects: DataFrame, most: float = V.AN
     left = known.filter(F.col("known") & F.col("x").isNotNull() & F.col("y").isNotNull()).drop("known")
     found = None
     for ring in RINGS:
-        best = _nearest_in_ring(left, there, ring)
-        settled = best.filter(F.col("distance_m") <= ring) if ring < RINGS[-1] else best
+        settled = _nearest_in_ring(left, there, ring).filter(F.col("distance_m") <= ring)
         found = settled if found is None else found.unionByName(settled)
         left = left.join(settled.select("annotation_id"), "annotation_id", "left_anti")
+    found = found.unionByName(_nearest_by_cells(left, there))
     out = annotations.join(known.select("annotation_id", "known"), "annotation_id").join(found.select("annotation_id", "nearest_object", "nearest_label", "distance_m"), "annotation_id", "left")
     hit = F.col("distance_m") <= most
     reason = F.when(~F.col("known"), "no candidates for semantic label").when(F.col("distance_m").isNull(), "missing global_box_center_x/y/z").when(~hit, "nearest object box_center is beyond max_distance")
@@ -52,17 +54,38 @@ def _known(rows: DataFrame, any_of: DataFrame) -> DataFrame:
     return d.withColumn("known", known).drop("classes")
 
 
-def _nearest_in_ring(rows: DataFrame, there: DataFrame, cell: float) -> DataFrame:
-    ring = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    a = rows.withColumn("gx", F.floor(F.col("x") / cell)).withColumn("gy", F.floor(F.col("y") / cell))
-    b = there.withColumn("ox", F.explode(ring)).withColumn("oy", F.explode(ring)).withColumn("gx", F.floor(F.col("bx") / cell) + F.col("ox")).withColumn("gy", F.floor(F.col("by") / cell) + F.col("oy")).drop("ox", "oy")
-    pairs = a.join(b, ["scene_id", "gx", "gy"]).filter(F.col("label").isNull() | (F.col("label") == F.col("o_label")))
+def _best_of(pairs: DataFrame) -> DataFrame:
     dz = F.coalesce(F.col("z") - F.col("bz"), F.lit(0.0))
     distance = G.norm(F.col("x") - F.col("bx"), F.col("y") - F.col("by"), dz)
     best = F.min(F.struct(distance.alias("distance_m"), "obj_ord", F.col("obj_name").alias("nearest_object"), F.col("o_label").alias("nearest_label"))).alias("best")
     return pairs.groupBy("annotation_id").agg(best).select("annotation_id", "best.*").drop("obj_ord")
 
 
+def _nearest_in_ring(rows: DataFrame, there: DataFrame, cell: float) -> DataFrame:
+    ring = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    a = rows.withColumn("gx", F.floor(F.col("x") / cell)).withColumn("gy", F.floor(F.col("y") / cell))
+    b = there.withColumn("ox", F.explode(ring)).withColumn("oy", F.explode(ring)).withColumn("gx", F.floor(F.col("bx") / cell) + F.col("ox")).withColumn("gy", F.floor(F.col("by") / cell) + F.col("oy")).drop("ox", "oy")
+    return _best_of(a.join(b, ["scene_id", "gx", "gy"]).filter(F.col("label").isNull() | (F.col("label") == F.col("o_label"))))
+
+
+def _nearest_by_cells(rows: DataFrame, there: DataFrame) -> DataFrame:
+    """The nearest object at any distance: objects of a scene and class are gathered in at most ACROSS squared cells, a row
+    meets the cells' boxes, and only the objects of cells that can hold the nearest one are measured."""
+    scene = there.groupBy("scene_id").agg(*(f(f"b{c}").alias(f"{n}_{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))))
+    at = lambda c: F.least(F.lit(ACROSS - 1), F.floor((F.col(f"b{c}") - F.col(f"lo_{c}")) / F.greatest(F.col(f"hi_{c}") - F.col(f"lo_{c}"), F.lit(1e-9)) * ACROSS)).cast("int")
+    placed = there.join(scene, "scene_id").withColumn("gx", at("x")).withColumn("gy", at("y")).drop("lo_x", "lo_y", "hi_x", "hi_y")
+    cells = placed.groupBy("scene_id", "o_label", "gx", "gy").agg(*(f(f"b{c}").alias(f"{n}_{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))))
+    # every cell is met under its class, and under no class by the rows without one
+    keyed = cells.withColumn("key", F.explode(F.array("o_label", F.lit(""))))
+    pairs = rows.withColumn("key", F.coalesce("label", F.lit(""))).join(keyed, ["scene_id", "key"]).drop("key")
+    outside = lambda c: F.coalesce(F.greatest(F.col(f"lo_{c}") - F.col(c), F.col(c) - F.col(f"hi_{c}"), F.lit(0.0)), F.lit(0.0))
+    across = lambda c: F.coalesce(F.greatest(F.abs(F.col(f"lo_{c}") - F.col(c)), F.abs(F.col(f"hi_{c}") - F.col(c))), F.lit(0.0))
+    pairs = pairs.withColumn("least", G.norm(*map(outside, "xyz"))).withColumn("most", G.norm(*map(across, "xyz")))
+    bound = pairs.groupBy("annotation_id").agg(F.min("most").alias("bound"))
+    kept = pairs.join(bound, "annotation_id").filter(F.col("least") <= F.col("bound") * (1 + 1e-9)).select(*rows.columns, "o_label", "gx", "gy")
+    return _best_of(kept.join(placed, ["scene_id", "o_label", "gx", "gy"]))
+
+
 def support_evidence(matched: DataFrame, objects: DataFrame) -> DataFrame:
     """Layer structural_evidence: supports and rests_on between an annotated object and all objects of the classes that its
     annotation names: explicit columns first, else free text that holds a stem of support."""

@@ -18,6 +18,10 @@ from cloudmason.operators.point_grid import FORWARD, PAIRS, Cells, components, d
 from cloudmason.session import cut, partitions
 
 TILE_M = 16.0
+#: Points of one class in one tile before that tile is cut; lists of cut tiles up to MAX_BROADCAST_TILES are broadcast.
+HOT_TILE, MAX_BROADCAST_TILES = 400_000, 100_000
+#: What a point is to a tile.
+CORE, TIE, BORDER = 0, 1, 2
 
 
 def code(points: DataFrame) -> Column:
@@ -125,19 +129,53 @@ def _dbscan_tile(eps: float, least: int):
         name = np.full(n, np.iinfo(np.int64).max)
         np.minimum.at(name, label[core], d["id"][core])
         own, inner = d["own"], d["inner"]
-        ids, kinds, bodies = [d["id"][core & own], d["id"][core & ~own & inner]], ["core"] * (core & own).sum() + ["tie"] * (core & ~own & inner).sum(), [name[label[core & own]], name[label[core & ~own & inner]]]
+        ids, kinds, bodies = [d["id"][core & own], d["id"][core & ~own & inner]], [np.full((core & own).sum(), CORE, np.int8), np.full((core & ~own & inner).sum(), TIE, np.int8)], [name[label[core & own]], name[label[core & ~own & inner]]]
         for p, q in close():
             for a, b in ((p, q), (q, p)):
                 k = own[a] & ~core[a] & core[b]
                 if k.any():
                     ids.append(d["id"][a[k]])
                     bodies.append(name[label[b[k]]])
-                    kinds += ["border"] * int(k.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.concatenate(ids)), pa.array(np.concatenate(bodies))], ["kind", "id", "body"])
+                    kinds.append(np.full(k.sum(), BORDER, np.int8))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(bodies))], ["kind", "id", "body"])
 
     return run
 
 
+def _tiles(d: DataFrame, eps: float) -> tuple[DataFrame, int]:
+    """(points in their tile and, as guests, in the tiles within 2 eps: key, check, id, x, y, z, own, inner; points).
+
+    A tile with more than HOT_TILE points is cut along each axis, the finer the more it holds, down to parts of 4 eps; a
+    guest goes to the parts that it comes near."""
+    wide, near = 2 * eps * (1 + 1e-6), eps * (1 + 1e-6)
+    home = d
+    for c in "xyz":
+        home = home.withColumn(f"h{c}", F.floor(F.col(c) / TILE_M))
+    tile = ["scene_id", "label", "nx", "ny", "nz"]
+    counts = home.groupBy("scene_id", "label", *(F.col(f"h{c}").alias(f"n{c}") for c in "xyz")).agg(F.count("*").alias("n_points"))
+    total, n_hot = counts.agg(F.coalesce(F.sum("n_points"), F.lit(0)), F.count_if(F.col("n_points") > HOT_TILE)).first()
+    t = home
+    for c in "xyz":
+        t = t.withColumn(f"n{c}", F.explode(F.array_distinct(F.array(F.floor(F.col(c) / TILE_M), F.floor((F.col(c) - wide) / TILE_M), F.floor((F.col(c) + wide) / TILE_M)))))
+    if n_hot:
+        finest = max(1, int(TILE_M / (4 * eps)))
+        split = F.least(F.lit(finest), F.ceil(F.sqrt(F.col("n_points") / HOT_TILE)) * 2).cast("int")  # scans are surfaces
+        hot = counts.filter(F.col("n_points") > HOT_TILE).select(*tile, split.alias("split"))
+        t = t.join(F.broadcast(hot) if n_hot <= MAX_BROADCAST_TILES else hot, tile, "left").withColumn("split", F.coalesce("split", F.lit(1)))
+    else:
+        t = t.withColumn("split", F.lit(1))
+    own, inner = F.lit(True), F.lit(True)
+    for c in "xyz":
+        side, low = F.lit(TILE_M) / F.col("split"), F.col(f"n{c}") * TILE_M
+        part = lambda v, side=side, low=low: F.greatest(F.lit(0), F.least(F.col("split") - 1, F.floor((v - low) / side))).cast("int")
+        t = t.withColumn(f"p{c}", F.explode(F.sequence(part(F.col(c) - wide), part(F.col(c) + wide))))
+        begin = low + F.col(f"p{c}") * side
+        own &= (F.col(f"n{c}") == F.col(f"h{c}")) & (F.col(f"p{c}") == part(F.col(c)))
+        inner &= (F.col(c) >= begin - near) & (F.col(c) < begin + side + near)
+    names = ["nx", "ny", "nz", "px", "py", "pz"]
+    return t.select(F.xxhash64("scene_id", "label", *names).alias("key"), F.hash("label", "scene_id", *names[::-1]).alias("check"), "id", "x", "y", "z", own.alias("own"), inner.alias("inner")), total
+
+
 def dbscan(points: DataFrame, eps: float = V.EPS_M, least: int = V.MIN_SAMPLES) -> DataFrame:
     """point_id, scene_id, label, cluster_id, obj_name of the points of all clusters of at least `least` points.
 
@@ -147,24 +185,16 @@ def dbscan(points: DataFrame, eps: float = V.EPS_M, least: int = V.MIN_SAMPLES)
     a border of 2 eps, so that the core test is exact for every point a link of the tile can use.
     """
     d = points.dropna(subset=["scene_id", "label", "x", "y", "z"]).select("scene_id", "label", F.col("point_id").alias("id"), "row_idx", "x", "y", "z")
-    wide, near = 2 * eps * (1 + 1e-6), eps * (1 + 1e-6)
-    t = d.drop("row_idx")
-    for c in "xyz":
-        t = t.withColumn(f"h{c}", F.floor(F.col(c) / TILE_M)).withColumn(f"n{c}", F.explode(F.array_distinct(F.array(F.floor(F.col(c) / TILE_M), F.floor((F.col(c) - wide) / TILE_M), F.floor((F.col(c) + wide) / TILE_M)))))
-    own = (F.col("nx") == F.col("hx")) & (F.col("ny") == F.col("hy")) & (F.col("nz") == F.col("hz"))
-    inner = F.lit(True)
-    for c in "xyz":
-        inner &= (F.col(c) >= F.col(f"n{c}") * TILE_M - near) & (F.col(c) < (F.col(f"n{c}") + 1) * TILE_M + near)
-    tiles = t.select(F.xxhash64("scene_id", "label", "nx", "ny", "nz").alias("key"), F.hash("label", "scene_id", "nz", "ny", "nx").alias("check"), "id", "x", "y", "z", own.alias("own"), inner.alias("inner"))
-    pieces = cut(tiles.repartition(partitions(points.sparkSession, tiles.count()), "key").mapInArrow(_dbscan_tile(eps, least), "kind string, id long, body long"))
-    cores = pieces.filter("kind = 'core'").select("id", "body")
-    ties = pieces.filter("kind = 'tie'").select("id", F.col("body").alias("other"))
+    tiles, total = _tiles(d.drop("row_idx"), eps)
+    pieces = cut(tiles.repartition(partitions(points.sparkSession, total), "key").mapInArrow(_dbscan_tile(eps, least), "kind byte, id long, body long"))
+    cores = pieces.filter(F.col("kind") == CORE).select("id", "body")
+    ties = pieces.filter(F.col("kind") == TIE).select("id", F.col("body").alias("other"))
     heads = join_labels(ties.join(cores, "id").select(F.col("body").alias("a"), F.col("other").alias("b")).distinct())
     named = lambda p: p.join(heads, p["body"] == heads["node"], "left").select("id", F.coalesce("head", "body").alias("head"))
     core_rows = named(cores).join(d.select("id", "scene_id", "label", "row_idx"), "id")
     first = core_rows.groupBy("scene_id", "label", "head").agg(F.min(F.struct("row_idx", "id")).alias("first"))
     numbers = first.withColumn("cluster_id", F.row_number().over(Window.partitionBy("scene_id", "label").orderBy("first")) - 1).select("head", "scene_id", "label", "cluster_id")
-    border = named(pieces.filter("kind = 'border'").select("id", "body").distinct()).join(numbers, "head").groupBy("id", "scene_id", "label").agg(F.min("cluster_id").alias("cluster_id"))
+    border = named(pieces.filter(F.col("kind") == BORDER).select("id", "body").distinct()).join(numbers, "head").groupBy("id", "scene_id", "label").agg(F.min("cluster_id").alias("cluster_id"))
     members = named(cores).join(numbers, "head").select("id", "scene_id", "label", "cluster_id").unionByName(border.select("id", "scene_id", "label", "cluster_id"))
     sizes = members.groupBy("scene_id", "label", "cluster_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     return members.join(sizes.drop("n"), ["scene_id", "label", "cluster_id"]).select(F.col("id").alias("point_id"), "scene_id", "label", "cluster_id", F.concat_ws("_", "label", F.col("cluster_id").cast("string")).alias("obj_name"))

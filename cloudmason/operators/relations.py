@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cloudmason.functions import geometry as G
 from cloudmason.functions import vocabulary as V
 from cloudmason.operators.dims import class_rules
+from cloudmason.session import cut
 
 CELL_M = 8.0
 KEEP = ["obj_ord", "obj_name", "semantic_label", "point_count", "cx", "cy", "cz", "min_x", "min_y", "min_z", "max_x", "max_y", "max_z"]
@@ -130,26 +131,85 @@ def distance_metrics(pairs: DataFrame) -> DataFrame:
     return pairs.select("scene_id", F.col("a_obj_name").alias("object_a"), F.col("b_obj_name").alias("object_b"), G.centroid_distance("a", "b").alias("centroid_distance"), G.bounds_gap("a", "b").alias("bbox_gap"), g[0].alias("gap_x"), g[1].alias("gap_y"), g[2].alias("gap_z"), G.vertical_gap("a", "b").alias("vertical_gap"), G.xy_overlap_ratio("a", "b").alias("xy_overlap_ratio"), (G.bounds_gap("a", "b") == 0).alias("touching_or_overlapping"))
 
 
-def nearest_objects(objects: DataFrame, asked: DataFrame, k: int = 10, label: str | None = None) -> DataFrame:
+#: Objects of a scene up to which all of them are measured at once; beyond, the search goes outward in rings.
+SMALL_SCENE = 2_000
+#: Radii of the rings in metres; what is not settled in the last meets the whole scene.
+RADII = [8.0, 64.0, 512.0, 4096.0]
+
+
+def _reached(own: DataFrame, others: DataFrame, radius: float) -> DataFrame:
+    """Pairs a, b of a scene whose boxes come within the radius along x and y: each once, found on a grid of that side."""
+
+    def covered(d: DataFrame, p: str, more: float) -> DataFrame:
+        for x in "xy":
+            lo, hi = F.col(f"{p}_min_{x}") - more, F.col(f"{p}_max_{x}") + more
+            d = d.withColumn(f"{p}_lo_{x}", lo).withColumn(f"g{x}", F.explode(F.sequence(F.floor(lo / radius), F.floor(hi / radius))))
+        return d
+
+    pairs = covered(own, "a", radius * (1 + 1e-9)).join(covered(others, "b", 0.0), ["scene_id", "gx", "gy"]).filter(F.col("a_obj_ord") != F.col("b_obj_ord"))
+    for x in "xy":
+        pairs = pairs.filter(F.floor(F.greatest(f"a_lo_{x}", f"b_lo_{x}") / radius) == F.col(f"g{x}"))
+    return pairs.drop("gx", "gy", "a_lo_x", "a_lo_y", "b_lo_x", "b_lo_y")
+
+
+def _large(objects: DataFrame, small: int) -> DataFrame:
+    return objects.groupBy("scene_id").agg(F.count("*").alias("n")).filter(F.col("n") > small).select("scene_id")
+
+
+def nearest_objects(objects: DataFrame, asked: DataFrame, k: int = 10, label: str | None = None, small: int = SMALL_SCENE) -> DataFrame:
     """The k nearest objects (by box gap, then centroid distance, then order) of each asked scene_id, obj_name.
 
-    Limits are clamped to 1..100. Every asked object meets the objects of its scene once.
+    Limits are clamped to 1..100. Scenes of up to `small` objects are measured at once. In larger ones the search goes
+    outward: an object is settled in the first ring that holds k others within its radius; the result is the same.
     """
     k = max(1, min(100, k))
     others = prefixed(objects if label is None else objects.filter(F.col("semantic_label") == label), "b")
     own = prefixed(objects.join(asked.select("scene_id", "obj_name").distinct(), ["scene_id", "obj_name"], "left_semi"), "a")
-    pairs = own.join(others, "scene_id").filter(F.col("a_obj_ord") != F.col("b_obj_ord"))
-    pairs = pairs.withColumn("gap", G.bounds_gap("a", "b")).withColumn("distance", G.centroid_distance("a", "b"))
-    order = Window.partitionBy("scene_id", "a_obj_ord").orderBy("gap", "distance", "b_obj_ord")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("scene_id", F.col("a_obj_name").alias("obj_name"), "rank", F.col("b_obj_name").alias("neighbour"), F.col("b_semantic_label").alias("neighbour_label"), "gap", "distance")
-
-
-def class_distance(objects: DataFrame, label_a: str, label_b: str, vertical: bool = False) -> DataFrame:
-    """Per scene the closest pair of two classes by box gap, or by vertical gap; ties by order."""
-    pairs = prefixed(objects.filter(F.col("semantic_label") == label_a), "a").join(prefixed(objects.filter(F.col("semantic_label") == label_b), "b"), "scene_id").filter(F.col("a_obj_ord") != F.col("b_obj_ord"))
+    large = _large(objects, small)
+    in_large = lambda d, how: d.join(large, "scene_id", how)
+
+    def best(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.withColumn("gap", G.bounds_gap("a", "b")).withColumn("distance", G.centroid_distance("a", "b"))
+        order = Window.partitionBy("scene_id", "a_obj_ord").orderBy("gap", "distance", "b_obj_ord")
+        return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("scene_id", F.col("a_obj_name").alias("obj_name"), "rank", F.col("b_obj_name").alias("neighbour"), F.col("b_semantic_label").alias("neighbour_label"), "gap", "distance")
+
+    found = best(in_large(own, "left_anti").join(others, "scene_id").filter(F.col("a_obj_ord") != F.col("b_obj_ord")))
+    left = in_large(own, "left_semi")
+    if left.take(1):
+        left, there = cut(left), cut(in_large(others, "left_semi"))
+        for radius in RADII:
+            ring = cut(best(_reached(left, there, radius)))
+            settled = ring.filter((F.col("rank") == k) & (F.col("gap") <= radius)).select("scene_id", F.col("obj_name").alias("a_obj_name"))
+            found = found.unionByName(ring.join(settled.withColumnRenamed("a_obj_name", "obj_name"), ["scene_id", "obj_name"], "left_semi"))
+            left = cut(left.join(settled, ["scene_id", "a_obj_name"], "left_anti"))
+        found = found.unionByName(best(left.join(there, "scene_id").filter(F.col("a_obj_ord") != F.col("b_obj_ord"))))
+    return found
+
+
+def class_distance(objects: DataFrame, label_a: str, label_b: str, vertical: bool = False, small: int = SMALL_SCENE) -> DataFrame:
+    """Per scene the closest pair of two classes by box gap, or by vertical gap; ties by order.
+
+    Scenes of up to `small` objects are measured at once; in larger ones the search by box gap goes outward in rings. The
+    vertical gap knows no neighbourhood in plan: of each class only the first object of each pair of heights is measured."""
+    a, b = prefixed(objects.filter(F.col("semantic_label") == label_a), "a"), prefixed(objects.filter(F.col("semantic_label") == label_b), "b")
+    apart = lambda d: d.filter(F.col("a_obj_ord") != F.col("b_obj_ord"))
     measure = G.vertical_gap("a", "b") if vertical else G.bounds_gap("a", "b")
-    best = F.min(F.struct(measure.alias("m"), "a_obj_ord", "b_obj_ord", "a_obj_name", "b_obj_name")).alias("best")
-    return pairs.groupBy("scene_id").agg(best).select("scene_id", F.col("best.a_obj_name").alias("object_a"), F.col("best.b_obj_name").alias("object_b"), F.col("best.m").alias("gap"))
+    least = F.min(F.struct(measure.alias("m"), "a_obj_ord", "b_obj_ord", "a_obj_name", "b_obj_name")).alias("best")
+    if vertical:
+        heights = lambda d, p: d.groupBy("scene_id", f"{p}_min_z", f"{p}_max_z").agg(*(F.min_by(c, f"{p}_obj_ord").alias(c) for c in d.columns if c not in ("scene_id", f"{p}_min_z", f"{p}_max_z")))
+        a, b = (heights(a, "a"), heights(b, "b")) if label_a != label_b else (a, b)
+        return apart(a.join(b, "scene_id")).groupBy("scene_id").agg(least).select("scene_id", F.col("best.a_obj_name").alias("object_a"), F.col("best.b_obj_name").alias("object_b"), F.col("best.m").alias("gap"))
+    large = _large(objects, small)
+    best = apart(a.join(large, "scene_id", "left_anti").join(b, "scene_id")).groupBy("scene_id").agg(least)
+    left = a.join(large, "scene_id", "left_semi")
+    if left.take(1):
+        left, there = cut(left), cut(b.join(large, "scene_id", "left_semi"))
+        for radius in RADII:
+            ring = cut(_reached(left, there, radius).groupBy("scene_id").agg(least).filter(F.col("best.m") <= radius))
+            best = best.unionByName(ring)
+            left = cut(left.join(ring.select("scene_id"), "scene_id", "left_anti"))
+        best = best.unionByName(apart(left.join(there, "scene_id")).groupBy("scene_id").agg(least))
+    return best.select("scene_id", F.col("best.a_obj_name").alias("object_a"), F.col("best.b_obj_name").alias("object_b"), F.col("best.m").alias("gap"))
 
 
 def overlapping(objects: DataFrame) -> DataFrame:

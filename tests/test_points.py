@@ -32,8 +32,9 @@ def naive_dbscan(xyz, order, eps, least):
     return np.where((out >= 0) & (n[np.maximum(out, 0)] >= least), out, -1)
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_dbscan_against_the_sequential_algorithm(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(0, 400_000), (1, 400_000), (1, 40)])
+def test_dbscan_against_the_sequential_algorithm(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(P, "HOT_TILE", hot)  # tiles that are cut give the same clusters
     rng = np.random.default_rng(seed)
     centres = rng.uniform(-20, 40, (12, 3))
     xyz = np.concatenate([c + rng.normal(0, 0.5, (60, 3)) for c in centres] + [rng.uniform(-20, 40, (200, 3)), np.column_stack([np.linspace(-18, 34, 600), np.zeros(600), np.zeros(600)])])

@@ -129,3 +129,78 @@ def test_empty_objects(spark):
     o = objects(spark, box(0, "wall", (0, 0, 0), (1, 1, 1))).limit(0)
     assert R.relationships(o).count() == 0 and S.edges(R.relationships(o)).count() == 0 and R.auto_threshold(o).count() == 0
     assert S.components_of(o, R.relationships(o)).count() == 0 and R.anomalies(R.relationships(o)).count() == 0
+
+
+def city(n=160, seed=4):
+    """One scene of scattered boxes, some far away."""
+    rng = np.random.default_rng(seed)
+    spread = np.where(rng.random(n) < 0.9, 60.0, 3000.0)
+    return [box(i, ["wall", "arch", "column", "vault"][i % 4], rng.uniform(-1, 1, 3) * [spread[i], spread[i], 10], rng.uniform(0.1, 6, 3), scene="ab"[i % 40 == 0]) for i in range(n)]
+
+
+def test_searches_in_rings_find_the_same(spark):
+    o = objects(spark, *city())
+    near = [sorted(map(tuple, R.nearest_objects(o, o.filter("obj_ord % 9 = 0"), 7, label, small=small).collect())) for label in (None, "arch") for small in (10_000, 0)]
+    assert near[0] == near[1] and near[2] == near[3] and len(near[0]) > 100
+    for a, b in (("wall", "vault"), ("arch", "arch")):
+        apart = [sorted(map(tuple, R.class_distance(o, a, b, small=small).collect())) for small in (10_000, 0)]
+        assert apart[0] == apart[1] and apart[0]
+    assert R.nearest_objects(o.limit(0), o, small=0).count() == 0 and R.class_distance(o.limit(0), "wall", "arch", small=0).count() == 0
+
+
+def test_vertical_class_distance(spark):
+    rows = city(60)
+    got = {r["scene_id"]: (r["object_a"], r["object_b"], r["gap"]) for r in R.class_distance(objects(spark, *rows), "wall", "arch", vertical=True).collect()}
+    gap = lambda a, b: max(b[11] - a[14], a[11] - b[14], 0.0) if not (a[11] <= b[14] and b[11] <= a[14]) else 0.0
+    for scene, (a, b, d) in got.items():
+        pairs = [(x, y) for x in rows for y in rows if x[1] == y[1] == scene and x[4] == "wall" and y[4] == "arch"]
+        assert abs(d) <= min(abs(gap(x, y)) for x, y in pairs) + 1e-9 and any(x[3] == a and y[3] == b for x, y in pairs)
+
+
+def test_matches_at_any_distance(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = city()
+    notes = [(i, "ab"[i % 30 == 0], [None, "wall", "arch", "roof"][i % 4], *(float(v) for v in rng.uniform(-1, 1, 3) * (10.0 ** (i % 6))), None) for i in range(120)]
+    notes[5] = (*notes[5][:5], None, None)
+    a = A.prepared(spark.createDataFrame(notes, "annotation_id long, scene_id string, semantic_label string, global_box_center_x double, global_box_center_y double, global_box_center_z double, function string"))
+    o = objects(spark, *rows)
+    found = []
+    for rings in (A.RINGS, [0.5]):
+        monkeypatch.setattr(A, "RINGS", rings)
+        found.append({r["annotation_id"]: (r["nearest_object"], round(r["distance_m"], 6)) for r in A.match_objects(a, o).collect() if r["nearest_object"]})
+    assert found[0] == found[1] and len(found[0]) > 80
+    for i, scene, label, x, y, z, _ in notes:
+        at = [(np.linalg.norm([x - b[6], y - b[7], 0 if z is None else z - b[8]]), b[2], b[3]) for b in rows if b[1] == scene and label in (None, b[4])]
+        assert (i in found[0]) == bool(at) and (not at or found[0][i] == (min(at)[2], round(float(min(at)[0]), 6)))
+
+
+def test_threshold_for_each_scene(spark):
+    rows = [box(i, "wall", (2.0 * (i % 5), 2.0 * (i // 5), 0), (0.2, 0.2, 0.2), scene="ab"[i % 2]) for i in range(40)]
+    o = objects(spark, *rows)
+    both = R.relationships(o, spark.createDataFrame([("a", 2.5), ("b", 9.0)], "scene_id string, threshold double"))
+    for scene, limit in (("a", 2.5), ("b", 9.0)):
+        assert kinds(both.filter(f"scene_id = '{scene}'")) == kinds(R.relationships(o.filter(f"scene_id = '{scene}'"), limit))
+    c = SceneContext(o, parameters=Parameters(threshold=None))
+    own = {r["scene_id"]: r["threshold"] for r in R.auto_threshold(o).collect()}
+    for scene, limit in own.items():
+        assert kinds(c.relationships.filter(f"scene_id = '{scene}'")) == kinds(R.relationships(o.filter(f"scene_id = '{scene}'"), limit))
+
+
+def test_questions_are_answered_by_rows(spark):
+    d = "/root/testdata/sf0.001"
+    c = SceneContext(spark.read.parquet(f"{d}/objects.parquet"), None, spark.read.parquet(f"{d}/annotations.parquet")).scene("SC0000000")
+    asked = c.ask("How many columns are there? What is the area and volume?")
+    assert [(q, h) for q, h, _ in asked] == [("How many columns are there?", "count_of_class"), ("What is the area and volume?", "area_and_volume")]
+    assert asked[0][2].first()["n"] == c.objects.filter("semantic_label = 'column'").count() and asked[1][2].count() == 1
+    assert "no graph" in c.ask("Mostra il grafo L2")[0][2] and c.ask("Ciao") == [("Ciao", "unanswered", None)]
+    assert [a for *_, a in c.ask("How many columns are there? Ciao?")] == [None, None]
+    assert c.ask("sono ornamentali?", "column")[0][1] == "class_role" and c.ask("sono ornamentali?")[0][1] == "unanswered"
+    from cloudmason.functions.text import PROMPTS
+
+    for text in [*(p for p in PROMPTS if p.count("?") < 2), "Elencami gli archi", "Relazioni tra muri e archi", "Relazioni della classe muro", "Ci sono incongruenze?", "Elenca tutte le relazioni", "Does the wall support the arch?", "What supports the roof?", "Distance: wall to arch, nearest", "Give me the coordinates of the scene", "Quante classi semantiche?", "Which classes are present?", "The window opening: is it in the wall?", "Qual è l'impronta dei muri?"]:
+        for _, handler, answer in c.ask(text):
+            assert handler != "unanswered" and answer is not None and (isinstance(answer, str) or "scene_id" in answer.columns)
+    nodes, edges = c.ontology_graph()
+    assert nodes.count() > 0 and edges.count() > 0
+    with pytest.raises(ValueError):
+        SceneContext(c.objects).ontology_graph()

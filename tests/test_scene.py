@@ -197,9 +197,10 @@ def test_questions_are_answered_by_rows(spark):
     assert c.ask("sono ornamentali?", "column")[0][1] == "class_role" and c.ask("sono ornamentali?")[0][1] == "unanswered"
     from cloudmason.functions.text import PROMPTS
 
-    for text in [*(p for p in PROMPTS if p.count("?") < 2), "Elencami gli archi", "Relazioni tra muri e archi", "Relazioni della classe muro", "Ci sono incongruenze?", "Elenca tutte le relazioni", "Does the wall support the arch?", "What supports the roof?", "Distance: wall to arch, nearest", "Give me the coordinates of the scene", "Quante classi semantiche?", "Which classes are present?", "The window opening: is it in the wall?", "Qual è l'impronta dei muri?"]:
-        for _, handler, answer in c.ask(text):
-            assert handler != "unanswered" and answer is not None and (isinstance(answer, str) or "scene_id" in answer.columns)
+    questions = [*(p for p in PROMPTS if p.count("?") < 2), "Elencami gli archi", "Relazioni tra muri e archi", "Relazioni della classe muro", "Ci sono incongruenze?", "Elenca tutte le relazioni", "Does the wall support the arch?", "What supports the roof?", "Distance: wall to arch, nearest", "Give me the coordinates of the scene", "Quante classi semantiche?", "Which classes are present?", "The window opening: is it in the wall?", "Qual è l'impronta dei muri?"]
+    for r in c.answer(spark.createDataFrame([(q,) for q in questions], "text string"), "text").collect():
+        answer = c._answered(r)
+        assert r["handler"] != "unanswered" and answer is not None and (isinstance(answer, str) or "scene_id" in answer.columns)
     nodes, edges = c.ontology_graph()
     assert nodes.count() > 0 and edges.count() > 0
     with pytest.raises(ValueError):

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudmason.operators.components import join_labels
@@ -369,12 +369,16 @@ def _solve(radius: float):
 
 def describe_bodies(members: DataFrame, typical: int = 3) -> DataFrame:
     """head, n_points, typical_points: each body's size and its points of highest weighted degree (ties: lowest id)."""
-    best = members.groupBy("head", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(F.struct((-F.round("degree", 3)).alias("d"), "id"))), 1, typical).alias("top"))
-    return best.groupBy("head").agg(F.sum("n").alias("n_points"), F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, typical).alias("top")).select("head", "n_points", F.array_join(F.expr("transform(top, x -> cast(x.id as string))"), ",").alias("typical_points"))
+    order = Window.partitionBy("head").orderBy(F.round("degree", 3).desc(), "id")
+    # the rank's limit is pushed below the shuffle: no more than `typical` points of a body leave a task
+    best = members.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= typical)
+    top = F.array_sort(F.collect_list(F.struct("rank", F.col("id").cast("string").alias("id"))))
+    return best.groupBy("head").agg(F.max("n_points").alias("n_points"), top.alias("top")).select("head", "n_points", F.array_join(F.col("top.id"), ",").alias("typical_points"))
 
 
 def find_bodies(points: DataFrame, radius: float = RADIUS, least_points: int = LEAST_POINTS) -> DataFrame:
-    """head, id, degree: every point of a body of at least least_points points, the head being the body's smallest id.
+    """head, id, degree, n_points: every point of a body of at least least_points points, with the body's size; the head is
+    the body's smallest id.
 
     points: grp, code, id (unique), x, y, z. Two points are of one body if points of the same grp and code link them in
     steps of at most radius. degree: the summed weight of
@@ -393,5 +397,5 @@ def find_bodies(points: DataFrame, radius: float = RADIUS, least_points: int = L
     sizes = own.groupBy("body").agg(F.count("*").alias("n"))
     named = sizes.join(heads, sizes["body"] == heads["node"], "left").select("body", "n", F.coalesce("head", "body").alias("head"))
     kept = named.groupBy("head").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_points)
-    body = named.drop("n").join(kept.select("head"), "head")
-    return own.join(body, "body").select("head", "id", "degree")
+    body = named.drop("n").join(kept.withColumnRenamed("n", "n_points"), "head")
+    return own.join(body, "body").select("head", "id", "degree", "n_points")

@@ -116,3 +116,17 @@ def test_degree_does_not_depend_on_tiles(spark, monkeypatch):
     monkeypatch.setattr(C, "TILE", 3.0)
     small = {r["id"]: r["degree"] for r in C.find_bodies(df).collect()}
     assert wide.keys() == small.keys() and np.mean([abs(wide[i] - small[i]) < 2e-3 for i in wide]) > 0.99
+
+
+def test_described_bodies_against_pandas(spark):
+    p = cloud(7)
+    found = C.find_bodies(spark.createDataFrame(p)).cache()
+    rows = found.toPandas()
+    rows["d"] = rows["degree"].astype(float).round(3)
+    got = {r["head"]: (r["n_points"], r["typical_points"]) for r in C.describe_bodies(found).collect()}
+    assert set(got) == set(rows["head"])
+    for head, own in rows.groupby("head"):
+        best = own.sort_values("id").set_index("id")["d"]
+        named = [int(i) for i in got[head][1].split(",")]
+        assert got[head][0] == len(own) == own["n_points"].iloc[0]
+        assert np.allclose(best.loc[named], best.sort_values(ascending=False).iloc[:3], atol=2e-3)

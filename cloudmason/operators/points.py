@@ -142,38 +142,40 @@ def _dbscan_tile(eps: float, least: int):
     return run
 
 
-def _tiles(d: DataFrame, eps: float) -> tuple[DataFrame, int]:
-    """(points in their tile and, as guests, in the tiles within 2 eps: key, check, id, x, y, z, own, inner; points).
+def tiles(d: DataFrame, keys: list[str], wide: float, near: float, side: float = TILE_M, hot_tile: int = HOT_TILE) -> tuple[DataFrame, int]:
+    """(points in their tile and, as guests, in the tiles within `wide`: key, check, id, x, y, z, own, inner; points).
 
-    A tile with more than HOT_TILE points is cut along each axis, the finer the more it holds, down to parts of 4 eps; a
-    guest goes to the parts that it comes near."""
-    wide, near = 2 * eps * (1 + 1e-6), eps * (1 + 1e-6)
+    d: the keys, id, x, y, z; points of different keys share no tile. own: the point's own tile; inner: within `near` of
+    the tile. A tile with more than hot_tile points is cut along each axis, the finer the more it holds, down to parts of
+    twice `wide`; a guest goes to the parts that it comes near."""
     home = d
     for c in "xyz":
-        home = home.withColumn(f"h{c}", F.floor(F.col(c) / TILE_M))
-    tile = ["scene_id", "label", "nx", "ny", "nz"]
-    counts = home.groupBy("scene_id", "label", *(F.col(f"h{c}").alias(f"n{c}") for c in "xyz")).agg(F.count("*").alias("n_points"))
-    total, n_hot = counts.agg(F.coalesce(F.sum("n_points"), F.lit(0)), F.count_if(F.col("n_points") > HOT_TILE)).first()
+        home = home.withColumn(f"h{c}", F.floor(F.col(c) / side))
+    tile = [*keys, "nx", "ny", "nz"]
+    counts = home.groupBy(*keys, *(F.col(f"h{c}").alias(f"n{c}") for c in "xyz")).agg(F.count("*").alias("n_points"))
+    total, n_hot = counts.agg(F.coalesce(F.sum("n_points"), F.lit(0)), F.count_if(F.col("n_points") > hot_tile)).first()
     t = home
     for c in "xyz":
-        t = t.withColumn(f"n{c}", F.explode(F.array_distinct(F.array(F.floor(F.col(c) / TILE_M), F.floor((F.col(c) - wide) / TILE_M), F.floor((F.col(c) + wide) / TILE_M)))))
+        t = t.withColumn(f"n{c}", F.explode(F.array_distinct(F.array(F.floor(F.col(c) / side), F.floor((F.col(c) - wide) / side), F.floor((F.col(c) + wide) / side)))))
+    own, inner, parts = F.lit(True), F.lit(True), []
+    for c in "xyz":
+        own &= F.col(f"n{c}") == F.col(f"h{c}")
     if n_hot:
-        finest = max(1, int(TILE_M / (4 * eps)))
-        split = F.least(F.lit(finest), F.ceil(F.sqrt(F.col("n_points") / HOT_TILE)) * 2).cast("int")  # scans are surfaces
-        hot = counts.filter(F.col("n_points") > HOT_TILE).select(*tile, split.alias("split"))
+        finest = max(1, int(side / (2 * wide)))
+        split = F.least(F.lit(finest), F.ceil(F.sqrt(F.col("n_points") / hot_tile)) * 2).cast("int")  # scans are surfaces
+        hot = counts.filter(F.col("n_points") > hot_tile).select(*tile, split.alias("split"))
         t = t.join(F.broadcast(hot) if n_hot <= MAX_BROADCAST_TILES else hot, tile, "left").withColumn("split", F.coalesce("split", F.lit(1)))
-    else:
-        t = t.withColumn("split", F.lit(1))
-    own, inner = F.lit(True), F.lit(True)
     for c in "xyz":
-        side, low = F.lit(TILE_M) / F.col("split"), F.col(f"n{c}") * TILE_M
-        part = lambda v, side=side, low=low: F.greatest(F.lit(0), F.least(F.col("split") - 1, F.floor((v - low) / side))).cast("int")
-        t = t.withColumn(f"p{c}", F.explode(F.sequence(part(F.col(c) - wide), part(F.col(c) + wide))))
-        begin = low + F.col(f"p{c}") * side
-        own &= (F.col(f"n{c}") == F.col(f"h{c}")) & (F.col(f"p{c}") == part(F.col(c)))
-        inner &= (F.col(c) >= begin - near) & (F.col(c) < begin + side + near)
-    names = ["nx", "ny", "nz", "px", "py", "pz"]
-    return t.select(F.xxhash64("scene_id", "label", *names).alias("key"), F.hash("label", "scene_id", *names[::-1]).alias("check"), "id", "x", "y", "z", own.alias("own"), inner.alias("inner")), total
+        low, length = F.col(f"n{c}") * side, F.lit(side)
+        if n_hot:
+            length = F.lit(side) / F.col("split")
+            part = lambda v, low=low, length=length: F.greatest(F.lit(0), F.least(F.col("split") - 1, F.floor((v - low) / length))).cast("int")
+            t = t.withColumn(f"p{c}", F.explode(F.sequence(part(F.col(c) - wide), part(F.col(c) + wide))))
+            own &= F.col(f"p{c}") == part(F.col(c))
+            low, parts = low + F.col(f"p{c}") * length, [*parts, f"p{c}"]
+        inner &= (F.col(c) >= low - near) & (F.col(c) < low + length + near)
+    names = ["nx", "ny", "nz", *parts]
+    return t.select(F.xxhash64(*keys, *names).alias("key"), F.hash(*keys[::-1], *names[::-1]).alias("check"), "id", "x", "y", "z", own.alias("own"), inner.alias("inner")), total
 
 
 def dbscan(points: DataFrame, eps: float = V.EPS_M, least: int = V.MIN_SAMPLES) -> DataFrame:
@@ -185,8 +187,8 @@ def dbscan(points: DataFrame, eps: float = V.EPS_M, least: int = V.MIN_SAMPLES)
     a border of 2 eps, so that the core test is exact for every point a link of the tile can use.
     """
     d = points.dropna(subset=["scene_id", "label", "x", "y", "z"]).select("scene_id", "label", F.col("point_id").alias("id"), "row_idx", "x", "y", "z")
-    tiles, total = _tiles(d.drop("row_idx"), eps)
-    pieces = cut(tiles.repartition(partitions(points.sparkSession, total), "key").mapInArrow(_dbscan_tile(eps, least), "kind byte, id long, body long"))
+    placed, total = tiles(d.drop("row_idx"), ["scene_id", "label"], 2 * eps * (1 + 1e-6), eps * (1 + 1e-6), TILE_M, HOT_TILE)
+    pieces = cut(placed.repartition(partitions(points.sparkSession, total), "key").mapInArrow(_dbscan_tile(eps, least), "kind byte, id long, body long"))
     cores = pieces.filter(F.col("kind") == CORE).select("id", "body")
     ties = pieces.filter(F.col("kind") == TIE).select("id", F.col("body").alias("other"))
     heads = join_labels(ties.join(cores, "id").select(F.col("body").alias("a"), F.col("other").alias("b")).distinct())

@@ -12,20 +12,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudmason.operators.components import join_labels
 from cloudmason.operators.point_grid import FORWARD, PAIRS, Cells, components, distance2, point_pairs
+from cloudmason.operators.points import tiles
 from cloudmason.session import cut, partitions
 
 RADIUS = 0.5
 LEAST_POINTS = 15
 TILE = 16.0
-#: Points of one group in one tile before that tile is cut into SPLIT smaller ones along each axis.
-HOT_TILE, SPLIT = 400_000, 8
-#: Hot tiles up to which their list is broadcast; beyond that it is joined by shuffle.
-MAX_BROADCAST_TILES = 100_000
+#: Points of one group in one tile before that tile is cut.
+HOT_TILE = 400_000
 NEIGHBOURS = 6
 #: Points whose candidates are measured at a time.
 CHUNK = 4_000
@@ -310,40 +309,6 @@ def _closed(cells: Cells, group: np.ndarray, xyz: np.ndarray, radius: float, lab
 PIECES = "key long, id long, own boolean, body long, degree float"
 
 
-def _tiles(points: DataFrame, radius: float) -> DataFrame:
-    """Each point in its own tile and, where a tile's border is within the radius, in the neighbouring ones: key, id, x, y, z, own."""
-    spark = points.sparkSession
-    home = points.select("grp", "code", "id", "x", "y", "z", *(F.floor(F.col(c) / TILE).cast("int").alias(f"t{c}") for c in "xyz"))
-    tile = ["grp", "code", "tx", "ty", "tz"]
-    sizes = home.groupBy(*tile).count()
-    total, n_hot = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count_if(F.col("count") > HOT_TILE)).first()
-    hot = sizes.filter(F.col("count") > HOT_TILE).select(*tile, F.lit(SPLIT).alias("split"))
-    reach = radius * (1 + 1e-6)
-
-    def around(c: str, side: str) -> Column:
-        """The tile numbers along an axis that the point takes part in."""
-        return F.expr(f"array_distinct(array(floor({c} / ({side})), floor(({c} - {reach}D) / ({side})), floor(({c} + {reach}D) / ({side}))))")
-
-    def spread(d: DataFrame, side: str) -> DataFrame:
-        for c in "xyz":
-            d = d.withColumn(f"h{c}", F.expr(f"floor({c} / ({side}))")).withColumn(f"n{c}", F.explode(around(c, side)))
-        own = (F.col("nx") == F.col("hx")) & (F.col("ny") == F.col("hy")) & (F.col("nz") == F.col("hz"))
-        return d.withColumn("own", own)
-
-    if not n_hot:
-        placed = spread(home, f"{TILE}D").withColumn("split", F.lit(1))
-    else:
-        # Points in or near a hot tile take part at the fine grid, too: tiles of both grids share their border points.
-        hot = F.broadcast(hot) if n_hot <= MAX_BROADCAST_TILES else hot
-        mine = home.join(hot, tile, "left").withColumn("split", F.coalesce("split", F.lit(1)))
-        placed = spread(mine, f"{TILE}D / split")
-        coarse = spread(mine.filter(F.col("split") > 1), f"{TILE}D").filter(~F.col("own"))
-        placed = placed.unionByName(coarse.withColumn("split", F.lit(1)))
-    key = F.xxhash64("grp", "code", "split", "nx", "ny", "nz").alias("key")
-    check = F.hash("grp", "code", "nz", "ny", "nx", "split").alias("check")
-    return placed.select(key, check, "id", "x", "y", "z", "own").repartition(partitions(spark, total), "key")
-
-
 def _solve(radius: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
@@ -388,7 +353,9 @@ def find_bodies(points: DataFrame, radius: float = RADIUS, least_points: int = L
     """
     xyz = [F.nanvl(F.col(c), F.lit(None)).alias(c) for c in "xyz"]
     usable = points.select("grp", "code", F.col("id").cast("long").alias("id"), *xyz).dropna()
-    pieces = cut(_tiles(usable, radius).mapInArrow(_solve(radius), PIECES))
+    placed, total = tiles(usable, ["grp", "code"], radius * (1 + 1e-6), 0.0, TILE, HOT_TILE)
+    placed = placed.drop("inner").repartition(partitions(points.sparkSession, total), "key")
+    pieces = cut(placed.mapInArrow(_solve(radius), PIECES))
     # A point in several tiles ties their pieces together; pieces are named by their smallest point.
     own = pieces.filter("own").select("id", "body", "degree")
     guests = pieces.filter(~F.col("own")).select("id", F.col("body").alias("other"))

@@ -85,18 +85,24 @@ def in_metres(left: DataFrame, right: DataFrame) -> DataFrame:
 def near_candidates(left: DataFrame, right: DataFrame, radius: float, same: Sequence[str] = (), any_class: bool = False) -> DataFrame:
     """Pairs of one scene whose centres lie within the radius in x and y and whose columns `same` are equal, on a grid.
 
-    any_class: classes must be equal or one of them unknown; a row asks for its class and for unknown ones by a key each."""
+    any_class: classes must be equal or one of them unknown; a row asks for its class and for unknown ones by a key each.
+    Cells and equal columns meet as one number, which the columns themselves then confirm. Every column is carried along:
+    give only those that are needed."""
     cell = lambda c: F.floor(F.col(c) / radius).cast("int")
     ring = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    a = left.filter("x is not null and y is not null").withColumn("cx", cell("x")).withColumn("cy", cell("y"))
-    b = right.filter("x is not null and y is not null").withColumn("ox", F.explode(ring)).withColumn("oy", F.explode(ring)).withColumn("cx", cell("x") + F.col("ox")).withColumn("cy", cell("y") + F.col("oy")).drop("ox", "oy")
-    keys = ["grp", "cx", "cy"]
+    placed = lambda d: d.filter(" and ".join(f"{c} is not null" for c in ("grp", "x", "y", *same)))
+    a, b = placed(left), placed(right).withColumn("ox", F.explode(ring)).withColumn("oy", F.explode(ring))
+    keys = []
     if any_class:
         keyed = lambda d, unknown, known: d.withColumn("kk", F.explode(F.when(F.col("k").isNull(), F.array(*map(F.lit, unknown))).otherwise(F.array(F.col("k"), F.lit(known)))))
-        a, b, keys = keyed(a, [-11], -12), keyed(b, [-11, -12], -11), [*keys, "kk"]
-    b = b.select(*(F.col(c).alias(c if c in keys else f"r_{c}") for c in b.columns))
-    d = a.join(b, [a[c] == b[c] for c in keys] + [a[c] == b[f"r_{c}"] for c in same]).drop(b["grp"]).drop("cx", "cy", "kk")
-    return d.filter((F.col("x") - F.col("r_x")) ** 2 + (F.col("y") - F.col("r_y")) ** 2 <= radius * radius)
+        a, b, keys = keyed(a, [-11], -12), keyed(b, [-11, -12], -11), ["kk"]
+    a = a.withColumn("meet", F.xxhash64("grp", cell("x"), cell("y"), *same, *keys)).drop(*keys)
+    b = b.withColumn("meet", F.xxhash64("grp", cell("x") + F.col("ox"), cell("y") + F.col("oy"), *same, *keys)).drop("ox", "oy", *keys)
+    b = b.select("meet", *(F.col(c).alias(f"r_{c}") for c in b.columns if c != "meet"))
+    d = a.join(b, "meet").drop("meet").filter((F.col("x") - F.col("r_x")) ** 2 + (F.col("y") - F.col("r_y")) ** 2 <= radius * radius)
+    for c in ("grp", *same):
+        d = d.filter(F.col(c) == F.col(f"r_{c}"))
+    return d.drop("r_grp")
 
 
 def same_wordings(pairs: DataFrame, known: Sequence[Sequence[str]] = ()) -> DataFrame:
@@ -139,7 +145,9 @@ def with_meaning(rows: DataFrame, meanings: DataFrame) -> DataFrame:
 def scene_shift(left: DataFrame, right: DataFrame) -> DataFrame:
     """grp, sx, sy, sz: by how much a scene's right centres are shifted, from the displacement most pairs of equal class,
     material and typology agree on; 0 where fewer than LEAST_VOTES do."""
-    pairs = near_candidates(left, right, SHIFT_RADIUS, ["k", "mat", "typ"]).select("grp", *((F.col(f"r_{c}") - F.col(c)).alias(f"d{c}") for c in "xyz"))
+    key = [F.xxhash64("k", "mat", "typ").alias("kind")]
+    slim = lambda d: d.filter("k is not null and mat is not null and typ is not null").select("grp", "x", "y", "z", *key)
+    pairs = near_candidates(slim(left), slim(right), SHIFT_RADIUS, ["kind"]).select("grp", *((F.col(f"r_{c}") - F.col(c)).alias(f"d{c}") for c in "xyz"))
     votes = pairs.withColumn("bx", F.explode(F.array(*(F.floor(F.col("dx") / BIN) + k for k in (-1, 0, 1))))).withColumn("by", F.explode(F.array(*(F.floor(F.col("dy") / BIN) + k for k in (-1, 0, 1)))))
     bins = votes.groupBy("grp", "bx", "by").agg(F.count("*").alias("n"), F.avg("dx").alias("sx"), F.avg("dy").alias("sy"), F.percentile_approx("dz", 0.5).alias("sz"))
     best = bins.groupBy("grp").agg(F.max_by(F.struct("n", "sx", "sy", "sz"), F.struct("n", -F.abs("bx") - F.abs("by"), "bx", "by")).alias("b"))
@@ -332,11 +340,15 @@ def solve_wide(pairs: DataFrame) -> DataFrame:
 def candidates(a: DataFrame, b: DataFrame, known: Sequence[Sequence[str]] = ()) -> DataFrame:
     """Candidate pairs of two sides with unique ids, with their evidence and the columns that rules() needs."""
     a, b = cut(in_metres(a, b)), cut(b)
-    meanings = cut(same_wordings(near_candidates(a, b, RADIUS, ["k"]), known))
+    worded = lambda d: d.select("grp", "k", "x", "y", "mat", "typ")
+    meanings = cut(same_wordings(near_candidates(worded(a), worded(b), RADIUS, ["k"]), known))
     a, b = cut(with_meaning(a, meanings)), with_meaning(b, meanings)
     shift = scene_shift(a, b)
     b = cut(b.join(shift, "grp", "left").select("id", "grp", "k", *((F.col(c) - F.coalesce(f"s{c}", F.lit(0.0))).alias(c) for c in "xyz"), "mat", "typ", "fns", "known_mat", "known_typ"))
-    near = near_candidates(a, b, RADIUS, any_class=True)
+    slim = lambda d: d.select("id", "grp", "k", "x", "y")
+    attributes = [c for c in a.columns if c != "n_right"]
+    other = b.select(*(F.col(c).alias(f"r_{c}") for c in attributes))
+    near = near_candidates(slim(a), slim(b), RADIUS, any_class=True).select("id", "r_id").join(a, "id").join(other, "r_id")
     lost_b = b.select(*(F.col(c).alias(c if c in ("grp", "k", "mat", "typ") else f"r_{c}") for c in b.columns))
     full = ["grp", "k", "mat", "typ"]
     copy = lambda d: d.select("*", *(F.col(c).alias(f"r_{c}") for c in full[1:]))
@@ -364,12 +376,17 @@ def link(left: DataFrame, right: DataFrame, known: Sequence[Sequence[str]] = ())
     folded = []
     for side in (left, right):
         keyed = cut(side.filter(F.col("grp").isNotNull()).withColumn("key", F.xxhash64(*attrs)))
-        folded.append((keyed.groupBy("key").agg(*(F.first(c).alias(c) for c in attrs)).withColumnRenamed("key", "id"), keyed.select("id", "key")))
+        folded.append((keyed.select(F.col("key").alias("id"), *attrs).distinct(), keyed.select("id", "key")))
     (a, a_rows), (b, b_rows) = folded
     pairs = cut(candidates(a, b, known))
     node = lambda c, salt: F.xxhash64(F.col(c), F.lit(salt))
-    heads = join_labels(pairs.select(node("id", 1).alias("a"), node("r_id", 2).alias("b")))
-    labelled = cut(pairs.withColumn("node", node("id", 1)).join(heads, "node", "left").withColumn("head", F.coalesce("head", "node")).drop("node"))
+    # a pair whose rows have no other candidate is a group by itself and needs no search for its group
+    alone = lambda c: pairs.groupBy(c).agg(F.count("*").alias(f"n_{c}"))
+    counted = cut(pairs.join(alone("id"), "id").join(alone("r_id"), "r_id").withColumn("node", node("id", 1)))
+    linked = counted.filter("n_id > 1 or n_r_id > 1")
+    heads = join_labels(linked.select(F.col("node").alias("a"), node("r_id", 2).alias("b")))
+    labelled = linked.join(heads, "node", "left").unionByName(counted.filter("n_id = 1 and n_r_id = 1").withColumn("head", F.lit(None).cast("long")))
+    labelled = cut(labelled.withColumn("head", F.coalesce("head", "node")).drop("node", "n_id", "n_r_id"))
     wide = cut(labelled.groupBy("head").count().filter(F.col("count") > TASK_PAIRS).select("head"))
     solved = labelled.join(wide, "head", "left_anti").repartition(partitions(spark, labelled.count()), "head").select("head", *PAIR).mapInPandas(_solve_parts, "id long, r_id long, confidence double")
     if wide.take(1):

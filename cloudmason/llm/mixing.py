@@ -87,9 +87,10 @@ def realise(documents: DataFrame, plan: list[dict], seed: int = 17) -> DataFrame
     return at.select("doc_id", "source", "tokens", (F.col("rounds") + extra).cast("int").alias("uses")).filter("uses > 0")
 
 
-def source_sizes(documents: DataFrame) -> dict[str, int]:
-    """Tokens by source, sources being few."""
-    return {r["source"]: r["tokens"] for r in documents.filter(F.col("source").isNotNull()).groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
+def source_sizes(documents: DataFrame, sources: list[str]) -> dict[str, int]:
+    """Tokens of each planned source; no other source reaches the driver."""
+    planned = documents.sparkSession.createDataFrame([(s,) for s in sources], "source string")
+    return {r["source"]: r["tokens"] for r in documents.join(planned, "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
 
 
 def mix(documents: DataFrame, targets: list[dict]) -> tuple[DataFrame, DataFrame]:
@@ -98,7 +99,7 @@ def mix(documents: DataFrame, targets: list[dict]) -> tuple[DataFrame, DataFrame
     targets: source, target_share, max_repeats. report: source, source_tokens, target_share, max_repeats, budget,
     used_tokens, actual_share (of all tokens), capped, most_uses.
     """
-    sizes = source_sizes(documents)
+    sizes = source_sizes(documents, [t["source"] for t in targets])
     total = documents.agg(F.sum("tokens")).first()[0] or 0
     plan = budgets(sizes, {t["source"]: t["target_share"] for t in targets}, {t["source"]: t["max_repeats"] for t in targets}, total)
     uses = realise(documents, plan)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudmason.llm import canonical, clusters, language, linkage, mixing, mojibake, packing, sampling
-from cloudmason.llm.tokens import n_tokens
+from cloudmason.llm.tokens import n_tokens, vocabulary
 from cloudmason.session import cut
 
 
@@ -126,7 +126,7 @@ def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, tokens, counted once and kept in the checkpoint folder."""
-    return cut(table(spark, sf_dir, "documents").select("doc_id", "source", n_tokens(F.col("text")).alias("tokens")))
+    return cut(table(spark, sf_dir, "documents").select("doc_id", "source", n_tokens(F.col("text"), vocabulary(spark)).alias("tokens")))
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +166,7 @@ def p9_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exponent on natural shares that gives the targets' entropy, or that the repetition limit forces, and its weights realised."""
     targets = {r["source"]: r for r in table(spark, sf_dir, "source_target").collect()}
     docs = _counted(spark, sf_dir).filter(F.col("source").isin(list(targets)))
-    sizes = mixing.source_sizes(docs)
+    sizes = mixing.source_sizes(docs, list(targets))
     repeats = {s: t["max_repeats"] for s, t in targets.items()}
     exponent, binding = mixing.exponent_for(sizes, mixing.entropy({s: t["target_share"] for s, t in targets.items()}), repeats)
     weights = mixing.tempered(sizes, exponent)

@@ -118,11 +118,8 @@ def has_word(c: Column, word: str) -> Column:
 
 def mentioned_classes(c: Column) -> Column:
     """Classes named in a text by whole words, in the order of the word list; an empty array for null."""
-    folded = fold(c)
-    hits = []
-    for label, words in V.TEXT_WORDS:
-        hits.append(F.when(folded.rlike("(?U)\\b(?:" + "|".join(map(re.escape, words)) + ")\\b"), F.lit(label)))
-    return F.array_compact(F.array(*hits))
+    listed = F.array(*(F.lit(label) for label, _ in V.TEXT_WORDS))
+    return F.coalesce(F.array_intersect(listed, question_classes(c)), F.array().cast("array<string>"))
 
 
 def first_mentioned(c: Column) -> Column:

@@ -75,16 +75,16 @@ def lookup(c: Column, table: dict[str, str], default: Column | None = None) -> C
 
 def l2_label(c: Column) -> Column:
     """Class of an annotation label; unknown words stand for themselves, blank ones for null."""
-    return F.nullif(lookup(fold(c), V.flat(V.LABEL_WORDS)), F.lit(""))
+    return F.nullif(lookup(fold(c), V.LABEL_WORDS), F.lit(""))
 
 
 def l3_class(c: Column) -> Column:
     word = F.regexp_replace(F.regexp_replace(F.lower(strip_blanks(c)), "/", "_"), " ", "_")
-    return lookup(word, V.flat(V.ONTOLOGY_WORDS))
+    return lookup(word, V.ONTOLOGY_WORDS)
 
 
 def predicate(c: Column) -> Column:
-    return lookup(strip_blanks(c), V.flat(V.PREDICATES))
+    return lookup(strip_blanks(c), V.PREDICATES)
 
 
 def decimal(c: Column) -> Column:

@@ -10,13 +10,51 @@ ROLES = {"arch": "structural", "column": "structural", "wall": "structural", "va
 CAN_SUPPORT = {"arch": ["vault", "roof"], "column": ["arch", "vault", "roof"], "wall": ["arch", "vault", "roof"], "vault": ["roof"], "roof": [], "floor": ["column", "wall", "stairs"], "stairs": [], "moldings": [], "door_window": [], "other": []}
 CAN_REST_ON = {"arch": ["column", "wall"], "column": ["floor"], "wall": ["floor"], "vault": ["arch", "column", "wall"], "roof": ["arch", "column", "wall", "vault"], "floor": [], "stairs": ["floor"], "moldings": [], "door_window": [], "other": []}
 PART_OF = {"arch": ["wall", "vault"], "stairs": ["floor", "wall"], "moldings": ["wall", "arch", "column"], "door_window": ["wall"], "other": ["wall", "floor", "column", "arch"]}
-# Label words of annotation files, by class.
+# Label words of annotation files and their class.
 LABEL_WORDS = {
-    "arch": ["arch", "arco", "archi"], "column": ["column", "columns", "colonna", "colonne"],
-    "door_window": ["door_window", "door", "doors", "window", "windows", "apertura", "aperture"], "floor": ["floor", "floors", "pavimento", "pavimenti"],
-    "moldings": ["molding", "moldings", "modanatura", "modanature"], "roof": ["roof", "roofs", "tetto", "tetti"], "stairs": ["stairs", "stair", "scala", "scale"],
-    "vault": ["vault", "vaults", "volta", "volte"], "wall": ["wall", "walls", "muro", "muri", "parete", "pareti"], "other": ["other", "altro"],
-}
+    "arch": "arch",
+    "arco": "arch",
+    "archi": "arch",
+    "column": "column",
+    "columns": "column",
+    "colonna": "column",
+    "colonne": "column",
+    "door_window": "door_window",
+    "door": "door_window",
+    "doors": "door_window",
+    "window": "door_window",
+    "windows": "door_window",
+    "apertura": "door_window",
+    "aperture": "door_window",
+    "floor": "floor",
+    "floors": "floor",
+    "pavimento": "floor",
+    "pavimenti": "floor",
+    "molding": "moldings",
+    "moldings": "moldings",
+    "modanatura": "moldings",
+    "modanature": "moldings",
+    "roof": "roof",
+    "roofs": "roof",
+    "tetto": "roof",
+    "tetti": "roof",
+    "stairs": "stairs",
+    "stair": "stairs",
+    "scala": "stairs",
+    "scale": "stairs",
+    "vault": "vault",
+    "vaults": "vault",
+    "volta": "vault",
+    "volte": "vault",
+    "wall": "wall",
+    "walls": "wall",
+    "muro": "wall",
+    "muri": "wall",
+    "parete": "wall",
+    "pareti": "wall",
+    "other": "other",
+    "altro": "other",
+}
 # Words that name a class in running text, in the order in which they are tried.
 TEXT_WORDS = [
     ("door_window", ["porta finestra", "porta-finestra", "porte finestre", "porte-finestre", "openings", "opening", "aperture", "apertura", "porte", "porta", "finestre", "finestra", "doors", "door", "windows", "window"]),
@@ -55,17 +93,61 @@ COUNT_WORDS = ["quante", "quanti", "numero di", "conteggio", "count", "how many"
 CLASS_COUNT_WORDS = (["quante", "quanti", "numero di", "conteggio", "how many"], ["classi", "classe", "semantic classes", "semantic class"])
 OBJECT_WORDS = ["oggetti", "objects", "elementi", "elements"]
 TRUTHY = ["1", "true", "yes", "y", "si", "s"]
-# Predicates of the cultural heritage ontology and their short forms.
+# Spellings of the predicates of the cultural heritage ontology.
 PREDICATES = {
-    "crm:P46_is_composed_of": ["P46", "P46_is_composed_of", "crm:P46"], "crm:P46i_forms_part_of": ["P46i", "P46i_forms_part_of", "crm:P46i"],
-    "crm:P56_bears_feature": ["P56", "P56_bears_feature", "crm:P56"], "crm:P56i_is_found_on": ["P56i", "P56i_is_found_on", "crm:P56i"],
-}
-# Class words of ontology input rows.
+    "P46": "crm:P46_is_composed_of",
+    "P46_is_composed_of": "crm:P46_is_composed_of",
+    "crm:P46": "crm:P46_is_composed_of",
+    "P46i": "crm:P46i_forms_part_of",
+    "P46i_forms_part_of": "crm:P46i_forms_part_of",
+    "crm:P46i": "crm:P46i_forms_part_of",
+    "P56": "crm:P56_bears_feature",
+    "P56_bears_feature": "crm:P56_bears_feature",
+    "crm:P56": "crm:P56_bears_feature",
+    "P56i": "crm:P56i_is_found_on",
+    "P56i_is_found_on": "crm:P56i_is_found_on",
+    "crm:P56i": "crm:P56i_is_found_on",
+}
+# Class words of ontology input rows and their class.
 ONTOLOGY_WORDS = {
-    "door_window": ["door", "porta", "finestra", "window", "window_door", "doorwindow", "porta_finestra", "portafinestra"], "molding": ["moulding", "moldings", "modanatura", "modanature"],
-    "arch": ["arches", "arco", "archi", "arc", "arcade_arch"], "architrave": ["architravi", "architraves"], "rib": ["ribs", "costolone", "costoloni"], "ramp": ["ramps", "rampa", "rampe"],
-    "step": ["steps", "gradino", "gradini"], "roof": ["tetto", "roofing"], "colonnade": ["colonnato"], "portico": ["porticato", "arcade"], "loggia": ["loggiato"], "pillar": ["pillars", "pilastro", "pilastri"],
-}
+    "door": "door_window",
+    "porta": "door_window",
+    "finestra": "door_window",
+    "window": "door_window",
+    "window_door": "door_window",
+    "doorwindow": "door_window",
+    "porta_finestra": "door_window",
+    "portafinestra": "door_window",
+    "moulding": "molding",
+    "moldings": "molding",
+    "modanatura": "molding",
+    "modanature": "molding",
+    "arches": "arch",
+    "arco": "arch",
+    "archi": "arch",
+    "arc": "arch",
+    "arcade_arch": "arch",
+    "architravi": "architrave",
+    "architraves": "architrave",
+    "ribs": "rib",
+    "costolone": "rib",
+    "costoloni": "rib",
+    "ramps": "ramp",
+    "rampa": "ramp",
+    "rampe": "ramp",
+    "steps": "step",
+    "gradino": "step",
+    "gradini": "step",
+    "tetto": "roof",
+    "roofing": "roof",
+    "colonnato": "colonnade",
+    "porticato": "portico",
+    "arcade": "portico",
+    "loggiato": "loggia",
+    "pillars": "pillar",
+    "pilastro": "pillar",
+    "pilastri": "pillar",
+}
 # Node prefix, display label, ontology class and local class by ontology class word.
 E22, E26, E55, E57, E16, E54 = "crm:E22_Human-Made_Object", "crm:E26_Physical_Feature", "crm:E55_Type", "crm:E57_Material", "crm:E16_Measurement", "crm:E54_Dimension"
 REGISTRY = {
@@ -88,8 +170,3 @@ NEAR_M, AUTO_SCALE, AUTO_FLOOR = 3.0, 2.5, 0.5
 ABOVE_LOW, ABOVE_HIGH, ABOVE_OVERLAP, ADJACENT_SHARE, ADJACENT_MOST = -0.15, 0.75, 0.05, 0.25, 0.75
 EPS_M, MIN_SAMPLES, VOXEL_M, ANNOTATION_M = 0.5, 15, 0.05, 2.0
 SPACING_TOLERANCE, MIN_COLONNADE = 0.35, 4
-
-
-def flat(groups: dict[str, list[str]]) -> dict[str, str]:
-    """word -> group."""
-    return {w: g for g, words in groups.items() for w in words}

@@ -208,7 +208,7 @@ def endpoint(rows: DataFrame, nodes: DataFrame, p: str) -> DataFrame:
 
 def contextual(rows: DataFrame, nodes: DataFrame, index: DataFrame) -> DataFrame:
     """Edges from relation rows: allowed predicate, both ends found, spatial support in the index or stated."""
-    d = endpoint(endpoint(rows, nodes, "source"), nodes, "target").withColumn("predicate", X.predicate(F.col("predicate"))).filter(F.col("predicate").isin(list(V.PREDICATES)) & F.col("source_id").isNotNull() & F.col("target_id").isNotNull())
+    d = endpoint(endpoint(rows, nodes, "source"), nodes, "target").withColumn("predicate", X.predicate(F.col("predicate"))).filter(F.col("predicate").isin(*dict.fromkeys(V.PREDICATES.values())) & F.col("source_id").isNotNull() & F.col("target_id").isNotNull())
     seen = index.select("scene_id", F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.lit(True).alias("seen"))
     stated = F.coalesce(F.lower(X.strip_blanks(F.col("spatially_supported"))).isin("1", "true", "yes", "y"), F.lit(False))
     return d.join(seen, ["scene_id", "source_id", "target_id"], "left").filter(stated | F.col("seen")).select("scene_id", F.col("source_id").alias("source"), F.col("target_id").alias("target"), "predicate")

@@ -61,7 +61,7 @@ def _reg(field: int) -> str:
     return Q.case("word", {k: v[field] for k, v in V.REGISTRY.items()}, other)
 
 
-ELEMENTS = f"""words AS (SELECT *, {Q.case(_WORD, V.flat(V.ONTOLOGY_WORDS), _WORD)} AS word FROM catalogue),
+ELEMENTS = f"""words AS (SELECT *, {Q.case(_WORD, V.ONTOLOGY_WORDS, _WORD)} AS word FROM catalogue),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY scene_id, word ORDER BY record_id) AS ordinal FROM words WHERE word IS NOT NULL),
 el AS (SELECT *, {_reg(0)} || '_' || ordinal AS label, scene_id || '_' || {_reg(0)} || '_' || ordinal AS node_id, {_reg(2)} AS ontology_class, {_reg(3)} AS local_class FROM numbered),
 nd AS (SELECT scene_id, node_id, arg_max(label, record_id) AS label, arg_max(ontology_class, record_id) AS ontology_class, arg_max(local_class, record_id) AS local_class, arg_max(word, record_id) AS word,
@@ -198,7 +198,7 @@ def measured_rows(s: SparkSession, d: str) -> DataFrame:
     return o.select(F.col("object_id").alias("row_no"), "scene_id", F.lit(None).cast("string").alias("target_node_id"), F.col("semantic_label").alias("target_local_class"), F.regexp_extract("obj_name", "_([0-9]+)$", 1).alias("target_index"), F.lit("height").alias("dimension_type"), F.round(F.col("max_z") - F.col("min_z"), 3).alias("value"), F.lit("m").alias("unit"), F.lit("boxes").alias("source"))
 
 
-_OWORD = Q.case("lower(semantic_label)", V.flat(V.ONTOLOGY_WORDS), "lower(semantic_label)")
+_OWORD = Q.case("lower(semantic_label)", V.ONTOLOGY_WORDS, "lower(semantic_label)")
 
 
 @query(f"""WITH {ELEMENTS}, num AS (SELECT scene_id, node_id, local_class, row_number() OVER (PARTITION BY scene_id, local_class ORDER BY record_id) AS place FROM nd),

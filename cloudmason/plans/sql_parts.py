@@ -30,7 +30,7 @@ def any_of(c: str, words: list[str]) -> str:
 
 
 ROLE = case("semantic_label", V.ROLES, "'unknown'")
-L2_LABEL = "nullif(" + case(fold("semantic_label"), {w: g for w, g in V.flat(V.LABEL_WORDS).items()}, fold("semantic_label")) + ", '')"
+L2_LABEL = "nullif(" + case(fold("semantic_label"), V.LABEL_WORDS, fold("semantic_label")) + ", '')"
 
 AREA = "greatest(max_x - min_x, 0.0) * greatest(max_y - min_y, 0.0)"
 VOLUME = "(max_x - min_x) * (max_y - min_y) * (max_z - min_z)"

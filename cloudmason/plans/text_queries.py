@@ -98,7 +98,7 @@ def f7_row_text(s, d):
 _L3 = f"replace(replace(lower({Q.strip('coalesce(class_semantic_label, semantic_label)')}), '/', '_'), ' ', '_')"
 
 
-@query(f"SELECT record_id, {Q.case(_L3, V.flat(V.ONTOLOGY_WORDS), _L3)} AS class_word FROM catalogue")
+@query(f"SELECT record_id, {Q.case(_L3, V.ONTOLOGY_WORDS, _L3)} AS class_word FROM catalogue")
 def f8_ontology_class(s, d):
     return table(s, d, "catalogue").select("record_id", X.l3_class(F.coalesce("class_semantic_label", "semantic_label")).alias("class_word"))
 
@@ -109,7 +109,7 @@ def f9_label_alias(s, d):
 
 
 # Spellings met in turn by the rows of a table, with blanks around every third.
-WRITTEN = [*V.flat(V.PREDICATES), "P999", "crm:P46", "near"]
+WRITTEN = [*V.PREDICATES, "P999", "crm:P46", "near"]
 TRUTHS = ["yes", "No", "SI", "0", "1", "true", "FALSE", "y", "s", "", "perhaps"]
 LEVELS = ["geometric", "csv_structural_evidence", "L3", "l1", "KG", "L2", "all", "structural", "zzz"]
 
@@ -124,7 +124,7 @@ def _turned(words: list[str], name: str) -> str:
     return f"(SELECT record_id, CASE WHEN record_id % 3 = 0 THEN ' ' || {word} || ' ' ELSE {word} END AS {name} FROM catalogue)"
 
 
-@query(f"SELECT record_id, {Q.case('trim(written)', V.flat(V.PREDICATES), 'trim(written)')} AS predicate FROM {_turned(WRITTEN, 'written')}")
+@query(f"SELECT record_id, {Q.case('trim(written)', V.PREDICATES, 'trim(written)')} AS predicate FROM {_turned(WRITTEN, 'written')}")
 def f10_predicate_alias(s, d):
     return _in_turn(s, d, WRITTEN, "written").select("record_id", X.predicate(F.col("written")).alias("predicate"))
 
